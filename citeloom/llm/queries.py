@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import is_blank, split_terms, term_key
+from citeloom.llm.canonical import map_to_canonical
 from citeloom.llm.formatting import formatting_duplicates
+from citeloom.llm.fusion import bare_doi, fuse, grouped_rows
 from citeloom.llm.leaks import find_leaks, leak_report
+from citeloom.llm.mojibake import garbled_cells
 from citeloom.llm.packing import pack_texts, packing_summary
 from citeloom.llm.pairs import cooccurrence
+from citeloom.llm.residue import residue_documents, without_residue
 from citeloom.llm.term_counts import TermStore, signed_deltas
 from citeloom.llm.terms import record_terms
 from citeloom.session import materialize, scratch_path, table
@@ -88,6 +92,22 @@ WHERE n_ab * tot.n >= 3.0 * fa.n * fb.n
 """
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_to_canonical(
+        table(spark, sf_dir, "paper_addresses"), table(spark, sf_dir, "institutions"), "address_id", "affiliations", "inst_id", "inst_name", "city", "acronym"
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _addresses(spark, sf_dir).select("address_id", "inst_id")
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed addresses that mean no entry of the list."""
+    none = _addresses(spark, sf_dir).filter("inst_id = 0").select("address_id")
+    return table(spark, sf_dir, "paper_addresses").join(none, "address_id", "left_semi").select("address_id", "affiliations")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = formatting_duplicates(table(spark, sf_dir, "papers"))
     return found.filter("group_id <> member_id").select(F.col("group_id").alias("paper_id_a"), F.col("member_id").alias("paper_id_b"))
@@ -99,6 +119,31 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("group_id = member_id").select(F.col("group_id").alias("paper_id"), "copies")
 
 
+def _doi_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers, feeds = table(spark, sf_dir, "papers"), table(spark, sf_dir, "export_feeds")
+    return grouped_rows(papers, bare_doi(F.col("doi")), "paper_id", "feed", "exported_at", ["title", "abstract"], feeds)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving title and abstract of every DOI group under the declared trust ranks."""
+    return fuse(_doi_groups(spark, sf_dir), ["title", "abstract"]).select(F.col("key").alias("doi"), "title_id", "abstract_id")
+
+
+def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving title and abstract by the greatest posterior, sources judged by their claims."""
+    fused = fuse(_doi_groups(spark, sf_dir), ["title", "abstract"], declared=False)
+    return fused.select(F.col("key").alias("doi"), "title_id", F.round("title_p", 4).alias("title_p"), "abstract_id", F.round("abstract_p", 4).alias("abstract_p"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_repaired(spark, sf_dir).select("paper_id", "field_name")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled cells with what could be restored."""
+    return garbled_cells(table(spark, sf_dir, "papers"), "paper_id", ["title", "abstract", "authors"])
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"))
 
@@ -115,9 +160,18 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p9_found(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without residue documents."""
+    return without_residue(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
+
+
 QUERIES = [
-    p1_found, p1_term_counts, p1_keywords_plus_counts, p3_found, p3_keywords_plus_pairs, p5_found, p5_collapsed,
-    p8_packing, p8_summary, p9_found, p9_report,
+    p1_found, p1_term_counts, p1_keywords_plus_counts, p3_found, p3_keywords_plus_pairs, p4_found, p4_unmatched, p5_found, p5_collapsed,
+    p6_found, p6_fused, p7_found, p7_repaired, p8_packing, p8_summary, p9_found, p9_report, p10_found, p10_clean,
 ]
 
 
