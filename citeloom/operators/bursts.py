@@ -62,8 +62,10 @@ def burst_runs(counts: np.ndarray) -> list[tuple[int, int, float, float]]:
 
 def _bursts(frame: pd.DataFrame, fallback: bool) -> pd.DataFrame:
     rows = []
-    for label, years, counts in zip(frame["label"], frame["years"], frame["counts"]):
-        years, counts = list(years), np.asarray(counts)
+    for label, years, entries in zip(frame["label"], frame["years"], frame["entries"]):
+        seen = {e["year"]: e["n"] for e in entries}
+        years = list(years)
+        counts = np.array([seen.get(y, 0) for y in years])
         runs = burst_runs(counts)
         peak = int(counts.max()) if len(counts) else 0
         found = [(round(s, 4), w, i, j) for i, j, w, s in runs]
@@ -77,16 +79,15 @@ def _bursts(frame: pd.DataFrame, fallback: bool) -> pd.DataFrame:
 
 
 def burst_table(series: DataFrame, years: Column, top_n: int = 20, fallback: bool = False) -> DataFrame:
-    """Bursts of (label, counts) where counts align with ``years``; needs three years at least."""
-    base = series.select("label", years.alias("years"), "counts").filter(F.size("years") >= 3)
+    """Bursts of (label, entries) with entries (year, n) over ``years``; needs three years at least."""
+    base = series.select("label", years.alias("years"), "entries").filter(F.size("years") >= 3)
     found = base.mapInPandas(lambda it: (_bursts(f, fallback) for f in it), BURST_SCHEMA)
     return found.orderBy(F.desc("adjusted_score"), F.desc("burst_strength"), F.desc("burst_weight"), F.asc("start"), F.desc("max_freq"), F.asc("label")).limit(top_n)
 
 
-def _series(counts: DataFrame, years: Column) -> DataFrame:
-    """(label, counts): one array per label, no longer than the range of years."""
-    m = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("m"))
-    return m.select("label", F.transform(years, lambda y: F.coalesce(F.try_element_at("m", y), F.lit(0))).alias("counts"))
+def _series(counts: DataFrame) -> DataFrame:
+    """(label, entries): one array of (year, n) per label, no longer than the range of years."""
+    return counts.groupBy("label").agg(F.collect_list(F.struct("year", "n")).alias("entries"))
 
 
 def keyword_bursts(keywords: DataFrame, papers: DataFrame, top_n: int = 20, min_total: int = 3, min_years: int = 2, label: str = "keyword") -> DataFrame:
@@ -98,13 +99,13 @@ def keyword_bursts(keywords: DataFrame, papers: DataFrame, top_n: int = 20, min_
     anchor = F.col("lead").isNotNull() & ~F.col("label").contains(" ") & (F.col("total") >= 100) & (F.col("active") / F.size(years) >= 0.75)
     usual = stats.filter((F.col("total") >= min_total) & (F.col("active") >= min_years)).join(leaders, "label", "left")
     chosen = usual.filter(~F.col("label").isin(L.BURST_GENERIC) & ~anchor).select("label")
-    return burst_table(_series(counts.join(chosen, "label", "left_semi"), years), years, top_n)
+    return burst_table(_series(counts.join(chosen, "label", "left_semi")), years, top_n)
 
 
 def reference_bursts(refs: DataFrame, papers: DataFrame, top_n: int = 20, label: str = "ref") -> DataFrame:
     """Bursts of cited references over the years of the citing papers, with a peak where there is none."""
     years = observed_years(papers)
     counts = dated(refs.filter(F.col(label).isNotNull()), papers).groupBy(F.col(label).alias("label"), "year").agg(F.count(F.lit(1)).alias("n"))
-    return burst_table(_series(counts, years), years, top_n, fallback=True)
+    return burst_table(_series(counts), years, top_n, fallback=True)
 
 

@@ -111,13 +111,14 @@ def lotka(authors: DataFrame, label: str = "author", tail: int = 99) -> DataFram
     """(papers, authors, empirical, theoretical): productivity against C / x**2."""
     per = frequency(authors, label, "papers")
     hist = frequency(per, "papers", "authors")
-    total, most = per.agg(F.count(F.lit(1))).scalar(), hist.agg(F.max("papers")).scalar()
-    constant = 1 / F.aggregate(F.sequence(F.lit(1), (most + tail).cast("int")), F.lit(0.0), lambda a, x: a + 1 / (x.cast("double") * x))
-    grid = hist.agg(F.max("papers").cast("int").alias("m")).select(F.explode(F.sequence(F.lit(1), "m")).alias("papers"))
+    total = per.agg(F.count(F.lit(1))).scalar()
+    top = hist.agg(F.max("papers").cast("int").alias("m"))
+    weight = 1 / F.aggregate(F.sequence(F.lit(1), F.col("m") + tail), F.lit(0.0), lambda a, x: a + 1 / (x.cast("double") * x))
+    grid = top.select(weight.alias("c"), F.explode(F.sequence(F.lit(1), "m")).alias("papers"))
     out = grid.join(hist.select(F.col("papers").alias("_p"), "authors"), grid.papers == F.col("_p"), "left")
     return out.select(
         F.col("papers").cast("long").alias("papers"), F.coalesce("authors", F.lit(0)).alias("authors"), F.round(F.coalesce("authors", F.lit(0)) / total, 6).alias("empirical"),
-        F.round(constant / (F.col("papers").cast("double") * F.col("papers")), 6).alias("theoretical"),
+        F.round(F.col("c") / (F.col("papers").cast("double") * F.col("papers")), 6).alias("theoretical"),
     )
 
 

@@ -254,7 +254,7 @@ def theme_chains(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
                 chain[own] = max(chain.values()) + 1
         return pd.DataFrame([(chain[int(r.period), int(r.topic)], int(r.period), int(r.topic), int(r.weight), r.label) for r in nodes.itertuples()], columns=["chain", "period", "topic", "weight", "label"])
 
-    members = rows.groupBy(F.lit(0)).applyInPandas(follow, "chain int, period int, topic int, weight long, label string")
+    members = rows.withColumn("grp", F.lit(0)).groupBy("grp").applyInPandas(follow, "chain int, period int, topic int, weight long, label string")
     order = F.array_sort(F.collect_list(F.struct("period", "topic", "weight", "label")))
     s = members.groupBy("chain").agg(order.alias("x"), F.count(F.lit(1)).alias("slices"), F.coalesce(F.regr_slope("weight", "period"), F.lit(0.0)).alias("slope"))
     last, prev = F.element_at("x", -1), F.try_element_at("x", F.lit(-2))

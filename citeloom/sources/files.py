@@ -1,0 +1,136 @@
+"""Record files: tab-delimited exports and CSV, encodings, project folders."""
+
+from __future__ import annotations
+
+import json
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeloom.functions import lookups as L
+
+# Encodings tried in turn.
+ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "cp1252", "latin-1"]
+SNIFF_BYTES = 1 << 20
+
+
+def sniff_encoding(path: str) -> str:
+    """The first encoding that decodes the head of a file strictly; an incomplete last character is allowed."""
+    with open(path.removeprefix("file://"), "rb") as f:
+        head = f.read(SNIFF_BYTES)
+    for name in ENCODINGS:
+        for cut in range(4):
+            try:
+                head[: len(head) - cut].decode(name)
+                return "utf-8" if name == "utf-8-sig" else name
+            except UnicodeDecodeError:
+                continue
+    return "latin-1"
+
+
+def is_tagged(first_line: str) -> bool:
+    """Whether a header line has five or more of the known field tags."""
+    return len(set(first_line.lstrip("﻿").strip().split("\t")) & L.HEADER_TAGS) >= 5
+
+
+def standardize(df: DataFrame, source: str = "csv") -> DataFrame:
+    """Columns renamed from tags, index columns dropped, core columns added as nulls; all text."""
+    names = {c: c.lstrip("﻿").strip() for c in df.columns}
+    if source == "tagged":
+        names = {c: L.TAG_COLUMNS.get(n, n) for c, n in names.items()}
+    out = df.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items() if n and not n.startswith("Unnamed") and not n.startswith("_c")])
+    for c in L.CORE_COLUMNS:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+    return out
+
+
+def read_tagged(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A tab-delimited export: no quoting, short rows padded, surplus fields dropped, blank lines skipped."""
+    raw = (
+        spark.read.option("header", True).option("sep", "\t").option("quote", "").option("encoding", _java(encoding or sniff_encoding(path)))
+        .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("enforceSchema", True).csv(path)
+    )
+    return standardize(raw, "tagged")
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", _java(encoding or sniff_encoding(path))).csv(path)
+    return standardize(raw, "csv")
+
+
+def _java(encoding: str) -> str:
+    return {"utf-8": "UTF-8", "gb18030": "GB18030", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
+
+
+def default_files(folder: str) -> list[str]:
+    """Exports of a folder: ``.txt`` first, then ``.csv``, each in the order of names."""
+    names = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+    return [os.path.join(folder, n) for ext in (".txt", ".csv") for n in names if n.lower().endswith(ext)]
+
+
+def path_list(text: str) -> list[str]:
+    """Paths of a text, one per line, without quotes."""
+    return [p for p in (line.strip().strip("\"'") for line in text.splitlines()) if p]
+
+
+def fingerprint(paths: list[str]) -> str:
+    """Names, times and sizes of files; missing ones are marked."""
+    parts = []
+    for p in paths:
+        full = os.path.abspath(p)
+        if os.path.exists(full):
+            s = os.stat(full)
+            parts.append(f"{full}:{s.st_mtime_ns}:{s.st_size}")
+        else:
+            parts.append(f"{full}:missing")
+    return "|".join(parts)
+
+
+def input_size(paths: list[str]) -> dict[str, float]:
+    found = [os.path.getsize(p) for p in paths if os.path.exists(p)]
+    return {"files": len(found), "bytes": sum(found), "megabytes": round(sum(found) / 1e6, 2)}
+
+
+def read_records(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
+    """All files with ``rec_id`` in input order (file, then line).
+
+    Files are tagged exports if their header says so (or end in ``.txt``), else CSV. A bad file
+    raises if ``strict``, else it is skipped.
+    """
+    parts: list[DataFrame] = []
+    for k, p in enumerate(paths):
+        try:
+            enc = sniff_encoding(p)
+            with open(p, encoding=enc, errors="replace") as f:
+                tagged = is_tagged(f.readline()) or p.lower().endswith(".txt")
+            df = read_tagged(spark, p, enc) if tagged else read_csv(spark, p, enc)
+            parts.append(df.withColumn("rec_id", F.lit(k).cast("long") * F.lit(1 << 50) + F.monotonically_increasing_id()))
+        except Exception:
+            if strict:
+                raise
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in L.CORE_COLUMNS) + ", rec_id long")
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
+def save_project(tables: dict[str, DataFrame], path: str, parameters: dict | None = None) -> None:
+    """One Parquet folder per table and a manifest with the parameters."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    doc = json.dumps({"tables": sorted(tables), "parameters": parameters or {}}, ensure_ascii=False)
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def load_project(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    doc = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
+    return {n: spark.read.parquet(f"{path}/{n}") for n in doc["tables"]}, doc["parameters"]
+
+
+def session_parameters(state: dict, prefixes: tuple[str, ...]) -> dict:
+    return {k: v for k, v in state.items() if k.startswith(prefixes) or k == "page"}
