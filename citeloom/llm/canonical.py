@@ -143,13 +143,14 @@ def map_to_canonical(
     forms = materialize(reference_forms(refs, ref_id, ref_name, ref_place, ref_acronym), "forms")
     typed = typed.filter(F.col(value).isNotNull() & (F.regexp_replace(value, r"(?U)\s+", "") != ""))
     keys = materialize(typed_keys(typed, id_col, value), "keys")
-    exact = keys.join(forms, keys.key == forms.form).select("key", "rid", F.when(F.col("kind") == "name", 0).otherwise(1).alias("how"), F.lit(0).alias("distance"))
+    once = materialize(keys.select("key").distinct(), "distinct-keys")
+    exact = once.join(forms, once.key == forms.form).select("key", "rid", F.when(F.col("kind") == "name", 0).otherwise(1).alias("how"), F.lit(0).alias("distance"))
     exact = exact.distinct()
     names = forms.filter("kind = 'name'")
     segs = materialize(segments(names, k), "segments")
     shapes = segs.select("L", "i", "start", "len").distinct()  # at most (k + 1) rows per length
     least = segs.agg(F.min("L")).collect()[0][0] or 0
-    rest = keys.select("key").distinct().join(exact.select("key"), "key", "left_anti").filter(F.length("key") >= least - k)
+    rest = once.join(exact.select("key"), "key", "left_anti").filter(F.length("key") >= least - k)
     near = probes(rest, shapes, k).join(segs.select("form", "L", "i", "seg"), ["L", "i", "seg"]).select("key", "form").distinct()
     near = near.withColumn("distance", F.levenshtein("key", "form", k)).filter("distance >= 0")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
