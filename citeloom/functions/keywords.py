@@ -76,13 +76,17 @@ def text_tokens(segment: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(L.STOPWORDS))
 
 
+def _grams(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.slice("t", i, n))
+
+
 def ngram_terms(df: DataFrame, id_col: str, text: str, max_ngram: int = 3, boost: int = 1) -> DataFrame:
     """(``id_col``, term, score, first): scored n-gram candidates; ``first`` is the first place of a term."""
     segs = df.filter(~is_blank(F.col(text))).select(id_col, F.posexplode(F.split(text, r"[.;:,()\[\]{}\n\t]+")).alias("seg", "s"))
     toks = segs.select(id_col, "seg", text_tokens(F.col("s")).alias("t"))
     parts = []
     for n in range(1, max_ngram + 1):
-        grams = toks.filter(F.size("t") >= n).select(id_col, "seg", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i, k=n: F.slice("t", i, k))).alias("at", "g"))
+        grams = toks.filter(F.size("t") >= n).select(id_col, "seg", F.posexplode(_grams(n)).alias("at", "g"))
         grams = grams.filter(F.forall("g", lambda x: (F.length(x) >= 3) | x.rlike(r"\d")))
         order = F.col("seg") * 1_000_000 + (n - 1) * 100_000 + F.col("at")
         parts.append(grams.select(id_col, normalize_keyword(F.array_join("g", " ")).alias("term"), F.lit(boost if n > 1 else max(1, boost - 1)).alias("w"), order.cast("long").alias("o")))

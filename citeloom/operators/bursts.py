@@ -16,15 +16,13 @@ from citeloom.operators.temporal import dated
 BURST_SCHEMA = "label string, burst_strength double, adjusted_score double, burst_weight double, start int, end int, duration int, max_freq long"
 
 
-def burst_runs(counts: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """(first, last, weight, score) of each run above the base state.
+def burst_states(counts: np.ndarray) -> tuple[list[int], float]:
+    """The cheapest path of states and its cost.
 
     States i have rate mean * 2**i up to one and a half times the peak (two at least); staying
     costs the Poisson deviance of the count, a move of d states ln(number of states) * d.
     """
     x = np.asarray(counts, dtype=float)
-    if x.size == 0 or x.max() <= 0:
-        return []
     mean = x.mean()
     top = 1
     while mean * 2 ** (top + 1) <= 1.5 * x.max():
@@ -46,6 +44,15 @@ def burst_runs(counts: np.ndarray) -> list[tuple[int, int, float, float]]:
     for best in reversed(parents):
         path.append(int(best[path[-1]]))
     path.reverse()
+    return path, float(total.min())
+
+
+def burst_runs(counts: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(first, last, weight, score) of each run above the base state."""
+    x = np.asarray(counts, dtype=float)
+    if x.size == 0 or x.max() <= 0:
+        return []
+    path, mean = burst_states(x)[0], x.mean()
     runs = []
     begin = None
     for t, s in enumerate([*path, 0]):

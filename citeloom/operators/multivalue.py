@@ -74,7 +74,7 @@ def part_class(part: str) -> str:
         return "H"
     if any(ch.isdigit() for ch in part):
         return "M"
-    if head.isupper() and " " not in part:
+    if not head.islower() and " " not in part:
         return "T"
     if part.isupper():
         return "U"
