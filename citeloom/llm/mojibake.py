@@ -68,7 +68,7 @@ def cost(text: str, before: str, after: str) -> float:
         nxt = text[i + 1] if i + 1 < len(text) else (after[:1] or " ")
         lg, ng = _group(last), _group(nxt)
         if g in "aw":
-            pass
+            total += 0.0 if ch.isalnum() or ch == " " else 1.5
         elif g == "W":
             total += 1.0
             if ch.isupper() and last.islower():
@@ -177,7 +177,7 @@ def repair(cell: str) -> tuple[bool, str, bool]:
             fixed = search(s, cell[max(0, m.start() - 1) : m.start()], cell[at : at + 1])
             if fixed == s and len(s) > 2:
                 fixed = _parts(s, cell[max(0, m.start() - 1) : m.start()], cell[at : at + 1])
-        if fixed != s:
+        if fixed != s and fixed != html.unescape(s):  # a character reference alone is no wrong decoding
             changed = True
         if LOST in fixed or any("\x80" <= ch < "\xa0" for ch in fixed):
             lost = True
