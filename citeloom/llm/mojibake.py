@@ -29,6 +29,8 @@ WESTERN_AS = ["cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp1253"]
 SUSPECT = r"[^\x00-\x7F]{2}|[^\x00-\x7FÀ-ÖØ-öø-ſ“”‘’–—…°±µ×≥≤β√¿¡«»·•„]|&#?\w{2,8};"
 STRETCH = re.compile(r"(?:[^\x00-\x7f]|&#?\w{2,8};)+")
 COMMON = set("“”‘’–—…°±µ×≥≤βαγδλμσπ√¿¡«»·•„≈≠∞²³½€£§©®™")
+#: A lead byte and a continuation byte of UTF-8 as they look in Western code pages.
+PAIR = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc]")
 MARGIN = 0.5
 LOST = "�"
 
@@ -201,7 +203,7 @@ def _parts(s: str, before: str, after: str) -> str:
             options = [piece] if j - i == 1 else []
             if j - i > 1:
                 f = search(piece, b, a, 6)
-                if f != piece:
+                if f != piece and all(_group(ch) in "Wp" for ch in f):
                     options.append(f)
             for o in options:
                 c = best[i] + cost(o, b, a) + (0.3 if o != piece else 0.0)
@@ -213,6 +215,8 @@ def _parts(s: str, before: str, after: str) -> str:
         out.append(o)
         j = i
     fixed = "".join(reversed(out))
+    if PAIR.search(fixed):  # what is left looks like the same mistake but cannot be undone
+        return s
     return fixed if cost(fixed, before, after) < cost(s, before, after) - 1.0 else s
 
 
