@@ -65,6 +65,16 @@ def metadata_terms(author_keywords: Column, keywords_plus: Column, source: str =
     return F.array_distinct(F.filter(F.transform(raw, normalize_keyword), lambda x: x.isNotNull()))
 
 
+def normalized_terms(terms: DataFrame, term: str = "term") -> DataFrame:
+    """``terms`` with ``term`` normalised, noise dropped. Each writing is normalised once and joined back."""
+    from citeloom.session import spread
+
+    once = spread(terms.select(F.col(term).alias("_raw")).filter("_raw is not null").distinct())
+    named = once.withColumn("_name", normalize_keyword(F.col("_raw"))).filter("_name is not null")
+    joined = terms.join(named, terms[term] == F.col("_raw"))
+    return joined.withColumn(term, F.col("_name")).drop("_raw", "_name")
+
+
 def acronyms(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b"), F.lit(0))
     return F.filter(F.transform(found, normalize_keyword), lambda x: x.isNotNull())

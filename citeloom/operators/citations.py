@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions import references as R
+from citeloom.session import spread
 
 
 def reference_frequency(refs: DataFrame, label: str = "ref") -> DataFrame:
@@ -48,14 +49,15 @@ def internal_citations(papers: DataFrame, refs: DataFrame, raw: str = "raw", **c
     keys = match_keys(papers, **columns)
     by_key = keys.filter("key is not null").groupBy("key").agg(F.min("rec_id").alias("k_id"))
     by_doi = keys.filter("doi is not null").groupBy("doi").agg(F.min("rec_id").alias("d_id"))
-    p = F.filter(F.transform(F.split(F.upper(F.col(raw)), ","), F.trim), lambda x: x != "")
-    r = refs.select("rec_id", raw).withColumn("p", p)
-    at = F.get(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: F.coalesce(R.year_token(F.get(F.col("p"), i)), F.lit("")) != ""), F.lit(0))
-    key = R.primary_key(R.author_token(F.get("p", F.lit(0))), R.year_token(F.get("p", at)), R.journal_token(F.get("p", at + 1)))
-    r = r.select("rec_id", F.when(F.size("p") >= 3, key).alias("key"), R.doi_token(F.col(raw)).alias("doi"))
-    return (
-        r.join(by_key, "key", "left").join(by_doi, "doi", "left").select(F.col("rec_id").alias("src"), F.coalesce("k_id", "d_id").alias("dst")).filter("dst is not null").distinct()
-    )
+    # works are cited often, so each writing is parsed and resolved once
+    once = spread(refs.select(F.col(raw).alias("raw")).filter("raw is not null").distinct())
+    p = F.filter(F.transform(F.split(F.upper("raw"), ","), F.trim), lambda x: x != "")
+    r = once.withColumn("p", p).withColumn("y", F.transform(F.slice("p", 2, 4), R.year_token))
+    r = r.withColumn("at", (F.array_position(F.transform("y", lambda x: x != ""), F.lit(True))).cast("int"))
+    key = R.primary_key(R.author_token(F.get("p", F.lit(0))), F.get("y", F.col("at") - 1), R.journal_token(F.get("p", F.col("at") + 1)))
+    r = r.select("raw", F.when((F.size("p") >= 3) & (F.col("at") > 0), key).alias("key"), R.doi_token(F.col("raw")).alias("doi"))
+    found = r.join(by_key, "key", "left").join(by_doi, "doi", "left").select("raw", F.coalesce("k_id", "d_id").alias("dst")).filter("dst is not null")
+    return refs.select(F.col("rec_id").alias("src"), F.col(raw).alias("raw")).join(found, "raw").select("src", "dst").distinct()
 
 
 def disruption(papers: DataFrame, edges: DataFrame) -> DataFrame:

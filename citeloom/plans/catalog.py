@@ -21,7 +21,7 @@ from citeloom.operators import temporal as T
 from citeloom.operators import topics as M
 from citeloom.operators.multivalue import split_packed
 from citeloom.plans import views as V
-from citeloom.session import table
+from citeloom.session import spread, table
 from citeloom.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,40 +557,41 @@ def governance_alias_block(spark, d):
 
 @register()
 def normalized_keywords(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.posexplode(K.metadata_terms(F.col("author_keywords"), F.col("keywords_plus"))).alias("pos", "keyword"))
-    return Q.frequency(p, "keyword")
+    p = table(spark, d, "papers")
+    raw = p.select("paper_id", F.explode(F.concat(split_terms(F.col("author_keywords")), split_terms(F.col("keywords_plus")))).alias("keyword"))
+    return Q.frequency(K.normalized_terms(raw, "keyword").select("paper_id", "keyword").distinct(), "keyword")
 
 
 @register()
 def automatic_terms(spark, d):
     """Terms of title and abstract for papers without keywords."""
     p = table(spark, d, "papers").filter(is_blank(F.col("author_keywords")) & is_blank(F.col("keywords_plus")))
-    return K.automatic_terms(p.select("paper_id", "title", "abstract"), "paper_id")
+    return K.automatic_terms(spread(p.select("paper_id", "title", "abstract")), "paper_id")
 
 
 @register()
 def paper_countries(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.explode(A.countries_of(F.col("affiliations"))).alias("country"))
+    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.countries_of(F.col("affiliations"))).alias("country"))
     return Q.ranked_table(Q.frequency(p, "country"), "country", 50)
 
 
 @register()
 def paper_institutions(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.explode(A.institutions_of(F.col("affiliations"))).alias("institution"))
+    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.institutions_of(F.col("affiliations"))).alias("institution"))
     return Q.ranked_table(Q.frequency(p, "institution"), "institution", 50)
 
 
 @register()
 def scored_institutions(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.explode(A.scored_institutions_of(F.col("affiliations"))).alias("institution"))
+    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.scored_institutions_of(F.col("affiliations"))).alias("institution"))
     return Q.ranked_table(Q.frequency(p, "institution"), "institution", 50)
 
 
 @register()
 def short_references(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.explode(R.reference_list(F.col("cited_references"))).alias("raw"))
-    r = p.select(R.short_reference(F.col("raw")).alias("ref"), R.reference_year(F.col("raw")).alias("year"), R.title_case(R.reference_journal(F.col("raw"))).alias("journal"))
-    return r.filter("ref is not null").groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("year"), F.min("journal").alias("journal"))
+    raw = table(spark, d, "papers").select(F.explode(R.reference_list(F.col("cited_references"))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    r = spread(raw).select("n", R.short_reference(F.col("raw")).alias("ref"), R.reference_year(F.col("raw")).alias("year"), R.title_case(R.reference_journal(F.col("raw"))).alias("journal"))
+    return r.filter("ref is not null").groupBy("ref").agg(F.sum("n").alias("n"), F.min("year").alias("year"), F.min("journal").alias("journal"))
 
 
 @register()
