@@ -209,3 +209,32 @@ def spring_layout(w: np.ndarray, rounds: int = 60, seed: int = 42) -> np.ndarray
         heat *= 0.95
     span = np.ptp(pos, axis=0)
     return (pos - pos.min(axis=0)) / np.where(span > 0, span, 1)
+
+
+def cluster_layout(w: np.ndarray, member: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Positions by cluster: clusters laid out by the weight between them, nodes around each centre."""
+    k = int(member.max()) + 1 if len(member) else 0
+    fold = np.zeros((len(w), k))
+    fold[np.arange(len(w)), member] = 1
+    between = fold.T @ w @ fold
+    np.fill_diagonal(between, 0)
+    centres = spring_layout(between, seed=seed) * max(1.0, np.sqrt(k))
+    pos = np.zeros((len(w), 2))
+    for c in range(k):
+        own = np.nonzero(member == c)[0]
+        inner = spring_layout(w[np.ix_(own, own)], seed=seed) - 0.5
+        pos[own] = centres[c] + inner * 0.3 * np.sqrt(len(own) / max(1, len(w)))
+    return pos
+
+
+def bipartite_layout(left: Sequence[Hashable], right: Sequence[Hashable], links: Sequence[tuple], gap: float = 2.1) -> dict[Hashable, tuple[float, float]]:
+    """Two columns; the right one ordered by the weighted mean rank of its neighbours."""
+    rank = {n: i for i, n in enumerate(left)}
+    mean = {}
+    for n in right:
+        own = [(rank[a], x) for a, b, x in links if b == n and a in rank]
+        total = sum(x for _, x in own)
+        mean[n] = sum(r * x for r, x in own) / total if total else float(len(rank))
+    order = sorted(right, key=lambda n: (mean[n], str(n)))
+    place = lambda col, x: {n: (x, -(i + 0.5) / max(1, len(col))) for i, n in enumerate(col)}
+    return place(list(left), -gap) | place(order, gap)

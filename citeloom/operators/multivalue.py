@@ -37,25 +37,31 @@ from citeloom.functions.text import is_blank, term_key
 from citeloom.session import materialize, spread
 
 WS = " \t\r\n　"
-STRONG = rf"[{WS}]*(?:;(?=[{WS};|]|$)|(?<=[{WS};|]);|[；|\t\r\n]|(?<=[{WS}])[•·](?=[{WS}]))(?:[{WS}]*[;；|\t\r\n])*[{WS}]*"
-WEAK = rf"[{WS}]*,[{WS}]*(?:(?:and|&)[{WS}]+)?|[{WS}]+(?:and|&|/)[{WS}]+|;"
-QUOTED = rf'"(?:[^"]|"")*"(?=[{WS}]*(?:$|[;；|•·,/\t\r\n]|(?:and|&)[{WS}]))'
-PLAIN = re.compile(rf"({STRONG}|{WEAK})")
-SCAN = re.compile(rf"({QUOTED})|(\[[^\]]*\])|({STRONG}|{WEAK})")
+#: Delimiters: strong ones, the comma, words and signs between spaces, the tight semicolon.
+DELIM = rf"(?P<s>;(?=[{WS};|]|$)|(?<=[{WS};|]);|[；|\t\r\n]|(?<=[{WS}])[•·](?=[{WS}]))|(?P<c>,)|(?P<w>(?<=[{WS}])(?:and|&|/)(?=[{WS}]))|(?P<t>;)"
+PLAIN = re.compile(DELIM)
+SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|{DELIM}')
+QUOTED = re.compile(rf'"(?:[^"]|"")*+"(?=[{WS}]*+(?:$|[;；|•·,/]|(?:and|&)[{WS}]))')
+QUOTE_WHOLE = re.compile(r'"(?:[^"]|"")*+"')
 LETTERS = r"(?:[^\W\d_](?:\.[ -]?|[ -]|$)){1,4}"
 INITIALS = re.compile(rf"{LETTERS}|[A-Z]{{2,3}}")
 LEADING = re.compile(r"(?:[^\W\d_]\.[ -]?){1,4} ?[^\W\d_]{2,}|(?:[^\W\d_] ){1,3}[^\W\d_]{2,}")
 TRAILING = re.compile(rf"[^\W\d_]{{2,}}[^\d]*? {LETTERS}|[^\W\d_]\w*[^\W\d_A-Z]\w* [A-Z]{{2,3}}")
 VOLUME = re.compile(r"[VP]\d+")
 DECIDED = 1e-4
+LONG_PART = 200
+#: A value holds at most so many delimiters that the chain leaves undecided.
+MAX_OPEN = 12
 OWN = 2.0
 RARE = 3e-4
 FLOOR = 1e-12
 
 
 def part_class(part: str) -> str:
-    """A class from a small fixed alphabet."""
+    """A class from a small fixed alphabet; long parts are classed by their first character."""
     head = part[0]
+    if len(part) > LONG_PART and head not in '"[':
+        return "L" if head.islower() else "W"
     if head == '"':
         return "Q"
     if head == "[":
@@ -87,6 +93,8 @@ _classes: dict[str, str] = {}
 
 
 def classed(part: str) -> str:
+    if len(part) > LONG_PART:
+        return part_class(part)
     c = _classes.get(part)
     if c is None:
         if len(_classes) > 200_000:
@@ -95,75 +103,68 @@ def classed(part: str) -> str:
     return c
 
 
-def scan_cell(cell: str) -> list[str]:
-    """Parts at even places, delimiters at odd ones."""
+def scan_cell(cell: str) -> list[tuple[int, int, str]]:
+    """Pieces between delimiters: (start, end, kind of the delimiter after it); the last has none."""
+    out: list[tuple[int, int, str]] = []
+    start = 0
     if '"' not in cell and "[" not in cell:
-        return PLAIN.split(cell)
-    out, start, at, end = [], 0, 0, len(cell)
-    while at < end:
+        for m in PLAIN.finditer(cell):
+            k = m.lastgroup
+            out.append((start, m.start(), "," if k == "c" else m.group() if k == "w" else k))
+            start = m.end()
+        out.append((start, len(cell), ""))
+        return out
+    at, closing = 0, cell.rfind("]")
+    while True:
         m = SCAN.search(cell, at)
         if m is None:
             break
-        if m.lastindex == 3:
-            out += [cell[start : m.start()], m.group()]
-            start = at = m.end()
-        elif m.lastindex == 1 and cell[start : m.start()].strip(WS):
-            at = m.start() + 1  # a quotation mark inside a value
+        k = m.lastgroup
+        if k == "q":
+            q = None if cell[start : m.start()].strip(WS) else QUOTED.match(cell, m.start())
+            at = q.end() if q else m.end()  # else a quotation mark inside a value
+        elif k == "b":
+            at = cell.find("]", m.start()) + 1 if m.start() < closing else m.end()
         else:
-            at = m.end()
-    out.append(cell[start:])
+            out.append((start, m.start(), "," if k == "c" else m.group() if k == "w" else k))
+            start = at = m.end()
+    out.append((start, len(cell), ""))
     return out
 
 
-def kind_of(delim: str) -> str:
-    """``s`` for a strong delimiter, else the weak kind."""
-    d = delim.strip(WS)
-    if d[:1] == ",":
-        return ","
-    if d == ";":
-        return "t" if d == delim else "s"
-    if d in ("and", "&", "/"):
-        return d
-    return "s"
-
-
-_kinds: dict[str, str] = {}
+Run = tuple[list[str], list[str], list[tuple[int, int]]]
 
 
-def runs_of(cell: str) -> list[tuple[list[str], list[str], list[str]]]:
-    """Runs between strong delimiters: (parts, kinds, delimiters as written)."""
-    pieces = scan_cell(cell)
-    runs, parts, kinds, delims = [], [], [], []
+def runs_of(cell: str) -> list[Run]:
+    """Runs between strong delimiters: (parts, kinds between them, places of the parts in the cell)."""
+    runs: list[Run] = []
+    parts: list[str] = []
+    kinds: list[str] = []
+    places: list[tuple[int, int]] = []
     pending = ""
     strong = False
-    for i, piece in enumerate(pieces):
-        if i & 1:
-            k = _kinds.get(piece)
-            if k is None:
-                if len(_kinds) > 10_000:
-                    _kinds.clear()
-                k = _kinds[piece] = kind_of(piece)
-            if k == "s":
-                strong = True
-                if parts:
-                    runs.append((parts, kinds, delims))
-                    parts, kinds, delims = [], [], []
-                pending = ""
-            else:
-                pending = pending or piece
-        else:
-            p = piece.strip(WS)
-            if not p:
-                continue
+    for a, b, kind in scan_cell(cell):
+        piece = cell[a:b]
+        p = piece.strip(WS)
+        if p:
             if parts:
-                kinds.append(_kinds.get(pending) or kind_of(pending))
-                delims.append(pending)
+                kinds.append(pending)
             parts.append(p)
+            a += len(piece) - len(piece.lstrip(WS))
+            places.append((a, a + len(p)))
             pending = ""
+        if kind == "s":
+            strong = True
+            if parts:
+                runs.append((parts, kinds, places))
+                parts, kinds, places = [], [], []
+            pending = ""
+        else:
+            pending = pending or kind
     if parts:
-        runs.append((parts, kinds, delims))
+        runs.append((parts, kinds, places))
     if not strong:  # the kind also tells whether the cell has a strong delimiter at all
-        runs = [(p, [k + "o" for k in ks], ds) for p, ks, ds in runs]
+        runs = [(p, [k + "o" for k in ks], at) for p, ks, at in runs]
     return runs
 
 
@@ -173,9 +174,6 @@ def clean_value(value: str) -> str:
     return value
 
 
-QUOTE_WHOLE = re.compile(r'"(?:[^"]|"")*"')
-
-
 def learn_chain(stats: dict[tuple[str, str, str, str], int], rounds: int = 30) -> dict[str, dict]:
     """EM over the counts of (class, delimiter, class); ``^`` and ``$`` mark run ends.
 
@@ -297,25 +295,25 @@ def _segment(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
                 if cell is None:
                     continue
                 values: list[str] | None = []
-                for parts, kinds, delims in runs_of(cell):
-                    value = parts[0]
-                    if kinds:
-                        last = classed(value)
-                        for k, d, p in zip(kinds, delims, parts[1:]):
-                            c = classed(p)
-                            what = rule.get((last, k, c), 2)
-                            if what == 0:
-                                value += d + p
-                            elif what == 1:
-                                values.append(clean_value(value))
-                                value = p
-                            else:
-                                values = None
-                                break
-                            last = c
-                        if values is None:
+                for parts, kinds, places in runs_of(cell):
+                    if not kinds:
+                        values.append(clean_value(parts[0]))
+                        continue
+                    last, begin, i = classed(parts[0]), places[0][0], 0
+                    for k in kinds:
+                        i += 1
+                        c = classed(parts[i])
+                        what = rule.get((last, k, c), 2)
+                        if what == 1:
+                            values.append(clean_value(cell[begin : places[i - 1][1]]))
+                            begin = places[i][0]
+                        elif what == 2:
+                            values = None
                             break
-                    values.append(clean_value(value))
+                        last = c
+                    if values is None:
+                        break
+                    values.append(clean_value(cell[begin : places[-1][1]]))
                 uid += 1
                 if values is None:
                     at.append(row)
@@ -340,11 +338,8 @@ def _segment(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
             )
 
 
-def span_text(parts: list[str], delims: list[str], i: int, j: int) -> str:
-    value = parts[i]
-    for k in range(i, j):
-        value += delims[k] + parts[k + 1]
-    return clean_value(value)
+def span_text(cell: str, places: list[tuple[int, int]], i: int, j: int) -> str:
+    return clean_value(cell[places[i][0] : places[j][1]])
 
 
 def allowed_spans(parts: list[str], kinds: list[str], rule: dict) -> Iterator[tuple[int, int]]:
@@ -355,9 +350,13 @@ def allowed_spans(parts: list[str], kinds: list[str], rule: dict) -> Iterator[tu
     for i in range(n):
         if i and what[i - 1] == 0:
             continue
+        undecided = 0
         for j in range(i, n):
             if j > i and what[j - 1] == 1:
                 break
+            undecided += j > i and what[j - 1] == 2
+            if undecided > MAX_OPEN:
+                break
             if j < n - 1 and what[j] == 0:
                 continue
             yield i, j
@@ -369,9 +368,9 @@ def _spans(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[str
         rows: list[tuple] = []
         for uid, fi, cell in zip(*(batch.column(c).to_pylist() for c in ("uid", "f", "item"))):
             f = fields[fi]
-            for r, (parts, kinds, delims) in enumerate(runs_of(cell)):
+            for r, (parts, kinds, places) in enumerate(runs_of(cell)):
                 for i, j in allowed_spans(parts, kinds, rules[f]):
-                    rows.append((uid, fi, r, i, j, span_text(parts, delims, i, j)))
+                    rows.append((uid, fi, r, i, j, span_text(cell, places, i, j)))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
@@ -450,19 +449,19 @@ def _by_cell(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
             for x in seen or []:
                 freq.setdefault(x["r"], {})[x["i"], x["j"]] = x["n"]
             runs = runs_of(cell)
-            yield ident, fi, [
-                (p, d, lattice(p, k, model[f], rules[f], freq.get(r, {}), totals.get(f, 1.0))) for r, (p, k, d) in enumerate(runs)
+            yield ident, fi, cell, [
+                (p, at, lattice(p, k, model[f], rules[f], freq.get(r, {}), totals.get(f, 1.0))) for r, (p, k, at) in enumerate(runs)
             ]
 
 
 def _expect(batches, fields, model, totals):
     n: Counter = Counter()
-    for _, fi, runs in _by_cell(batches, fields, model, totals):
-        for parts, delims, edges in runs:
+    for _, fi, cell, runs in _by_cell(batches, fields, model, totals):
+        for parts, places, edges in runs:
             if len(parts) > 1:
                 for (i, j), q in posteriors(len(parts), edges).items():
                     if q > 1e-3:
-                        n[fi, span_text(parts, delims, i, j)] += q
+                        n[fi, span_text(cell, places, i, j)] += q
             else:
                 n[fi, clean_value(parts[0])] += 1.0
         if len(n) > 50_000:
@@ -487,11 +486,11 @@ def _choose(batches, fields, model, totals, id_type):
             [pa.array(cols[0], id_type), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.int32()), pa.array(cols[3])], ["id", "f", "pos", "item"]
         )
 
-    for ident, fi, runs in _by_cell(batches, fields, model, totals):
+    for ident, fi, cell, runs in _by_cell(batches, fields, model, totals):
         pos = 0
-        for parts, delims, edges in runs:
+        for parts, places, edges in runs:
             for i, j in viterbi(len(parts), edges):
-                v = span_text(parts, delims, i, j)
+                v = span_text(cell, places, i, j)
                 if v:
                     pos += 1
                     out.append((ident, fi, pos, v))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import affiliations as A
+from citeloom.functions import geo as X
 from citeloom.functions import keywords as K
 from citeloom.functions import references as R
 from citeloom.functions.text import is_blank, split_terms, squash_ws
@@ -22,6 +23,7 @@ from citeloom.operators import topics as M
 from citeloom.operators.multivalue import split_packed
 from citeloom.plans import views as V
 from citeloom.session import spread, table
+from citeloom.sources import reports as P
 from citeloom.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,6 +689,37 @@ def topics_over_time(spark, d):
     return M.topics_over_time(M.topics(V.papers(spark, d), k=6)[1])
 
 
+@register()
+def topics_against_keywords(spark, d):
+    return M.topics_against_keywords(M.topics(V.papers(spark, d), k=6)[0], keyword_frequency(spark, d))
+
+
+@register()
+def country_codes(spark, d):
+    """Countries of the papers with code and map position."""
+    top = paper_countries(spark, d).withColumn("iso3", X.iso3(F.col("country")))
+    return X.with_positions(top)
+
+
+@register()
+def stable_brokers(spark, d):
+    return P.stable_brokers(robustness(spark, d))
+
+
+@register(V.AUTHORS, V.COUNTRIES, V.KEYWORDS, V.REFERENCES, sql="""SELECT (SELECT count(DISTINCT author) FROM authors_v) AS authors, (SELECT count(DISTINCT country) FROM countries_v) AS countries,
+(SELECT count(DISTINCT keyword) FROM keywords_v) AS keywords, (SELECT count(DISTINCT ref) FROM refs_v) AS refs""")
+def distinct_counts(spark, d):
+    out = Q.distinct_count(V.authors(spark, d), "author", "authors")
+    for long, col, name in ((V.countries(spark, d), "country", "countries"), (V.keywords(spark, d), "keyword", "keywords"), (V.references(spark, d), "ref", "refs")):
+        out = out.withColumn(name, Q.distinct_count(long, col, name).scalar())
+    return out
+
+
+@register(V.PAPERS, sql="SELECT rec_id, year FROM papers_v WHERE year BETWEEN greatest(2010, (SELECT min(year) FROM papers_v)) AND least(2015, (SELECT max(year) FROM papers_v))")
+def year_window(spark, d):
+    return D.year_window(V.papers(spark, d), 2010, 2015).select("rec_id", "year")
+
+
 # --- extensions over events ---
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.sources import export as X
 from citeloom.sources import files as S
+from citeloom.sources import reports as R
 from citeloom.streaming import events as E
 
 
@@ -69,3 +70,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = E.run_to_end(E.windowed_counts(stream), "counts", str(tmp_path / "cp"), "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.windowed_counts(rows).collect()))
     assert E.sessions(rows, "1 hour").agg(F.sum("n")).first()[0] == 50
+
+
+def test_reports(spark):
+    c = corpus(spark)
+    refs = spark.createDataFrame([(i, f"r{j}") for i in range(20) for j in range(i % 3, i % 3 + 4)], "rec_id long, ref string")
+    cites = spark.createDataFrame([(i, i - 1) for i in range(1, 20)], "src long, dst long")
+    full = X.Corpus(c.papers, keywords=c.keywords, references=refs, citations=cites)
+    z = zipfile.ZipFile(io.BytesIO(R.bundle(full, {"top": {"group": "Network", "value": 5, "default": 3}})))
+    assert {"case.md", "innovation.json", "signals.md", "index.json"} <= set(z.namelist())
+    assert "Network" in z.read("parameters.md").decode() and "Brokers" in z.read("innovation.md").decode()
+    assert R.changed_parameters({"a": {"value": 1, "default": 1}}) == []
+
+
+def test_codes_and_layouts(spark):
+    from citeloom.functions import geo, graph
+
+    df = spark.createDataFrame([("USA",), ("Germany",), ("Nowhere",)], "country string").select("country", geo.iso3(F.col("country")).alias("iso3"))
+    got = {r.country: (r.iso3, r.lat) for r in geo.with_positions(df).collect()}
+    assert got["USA"][0] == "USA" and got["Germany"][1] is not None and got["Nowhere"] == (None, None)
+    w = graph.matrix_of("abcd", [("a", "b", 1), ("c", "d", 1)])
+    assert graph.cluster_layout(w, graph.louvain(w)).shape == (4, 2)
+    spots = graph.bipartite_layout(["a", "b"], ["x", "y"], [("b", "x", 1), ("a", "y", 1)])
+    assert spots["y"][1] > spots["x"][1]
