@@ -31,6 +31,8 @@ STRETCH = re.compile(r"(?:[^\x00-\x7f]|&#?\w{2,8};)+")
 COMMON = set("“”‘’–—…°±µ×≥≤βαγδλμσπ√¿¡«»·•„≈≠∞²³½€£§©®™")
 #: A lead byte and a continuation byte of UTF-8 as they look in Western code pages.
 PAIR = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc]")
+#: Characters as which a lead byte of UTF-8 appears in the common encodings.
+LEADS = {bytes([b]).decode(c, "ignore") for b in range(0xC2, 0xF5) for c in CODECS[:7]} - {""}
 MARGIN = 0.5
 LOST = "�"
 
@@ -85,7 +87,7 @@ def cost(text: str, before: str, after: str) -> float:
                 total += 0.5
         elif g in "GCH":
             total += 1.0
-            if lg in "wW" or ng in "wW" or (lg not in g and ng not in g and lg in "wWps" and g != "G"):
+            if lg in "wW" or ng in "wW":
                 total += 2.0
         elif g == "s":
             total += 2.0
@@ -191,8 +193,6 @@ def repair(cell: str) -> tuple[bool, str, bool]:
 def _parts(s: str, before: str, after: str) -> str:
     """A stretch that is garbled in part: the cheapest cover by repaired pieces."""
     n = len(s)
-    if n > 64:
-        return s
     best = [0.0] + [float("inf")] * n
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     for j in range(1, n + 1):
@@ -201,7 +201,7 @@ def _parts(s: str, before: str, after: str) -> str:
             b = s[i - 1] if i else before
             a = s[j] if j < n else after
             options = [piece] if j - i == 1 else []
-            if j - i > 1:
+            if j - i > 1 and piece[0] in LEADS:
                 f = search(piece, b, a, 6)
                 if f != piece and all(_group(ch) in "Wp" for ch in f):
                     options.append(f)
