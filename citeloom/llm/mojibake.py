@@ -151,6 +151,10 @@ def neighbours(text: str) -> Iterator[tuple[str, float]]:
 
 def search(text: str, before: str, after: str, most: int = 40) -> str:
     """Best-first search from ``text``; ``most`` bounds the texts that are expanded."""
+    return _search_cached(text, before, after, most) if len(text) <= 16 else _search(text, before, after, most)
+
+
+def _search(text: str, before: str, after: str, most: int) -> str:
     start = cost(text, before, after)
     best, best_cost = text, start
     heap = [(start, 0.0, text)]
@@ -167,6 +171,9 @@ def search(text: str, before: str, after: str, most: int = 40) -> str:
     return best
 
 
+_search_cached = lru_cache(maxsize=100_000)(_search)
+
+
 def repair(cell: str) -> tuple[bool, str, bool]:
     """(garbled, text with what could be restored, everything restored)."""
     changed, lost = False, False
