@@ -91,6 +91,7 @@ EXEMPLARS = [
 SLOT = re.compile(
     r"\{\{[^{}\n]*\}\}|[$#]\{[^{}\n]*\}|<%[^%\n]*%>|@@\w+@@|\[\[[^\[\]\n]*\]\]|%\w+%|%[sdSD]\b|\{[A-Za-z][A-Za-z_]{2,}\}|__\w+__|<[A-Za-z_]{3,}>|\b(?:XX+|NNN+|xx{3,})\b|\b0\.XX+\b"
 )
+SLOT_SIGN = re.compile(r"[{@<]|%\w|\[\[|__|XX|NNN|xxx")
 # Page furniture that is not main content.
 TAGS = re.compile(r"<title>[^<]*</title>|</?(?:html|head|body|p|div|span|br|h\d|title|main|article|script|noscript)\b[^<>]*>", re.I)
 FURNITURE = re.compile(
@@ -98,24 +99,28 @@ FURNITURE = re.compile(
 )
 AUTHORS = re.compile(r"^(?:(?:[^\W\d_]\.[ -]?){1,4}[^\W\d_]\w*(?:, | and |, and |$))+$")
 WINDOW = re.compile(r"\n+|(?<=[.!?])\s+")
-WORD = re.compile(r"§|[^\W_]+")
+WORD = re.compile(r"§|[^\W\d_][^\W_]*")
 CONTAINED = 0.6
 COVERED = 0.6
 
 
 def window_words(text: str) -> list[str]:
-    """Words of a window: slots as ``§``, numbers left out."""
-    return [w for w in WORD.findall(SLOT.sub(" § ", text).casefold()) if not w.isdigit()]
+    """Words of a window whose slots were replaced by ``§``; numbers are left out."""
+    return WORD.findall(text.casefold())
 
 
-EXEMPLAR_WORDS = [frozenset(WORD.findall(SLOT.sub(" § ", t).casefold())) - {str(n) for n in range(10)} for _, t in EXEMPLARS]
+def marked_slots(text: str) -> str:
+    return SLOT.sub(" § ", text) if SLOT_SIGN.search(text) else text
+
+
+EXEMPLAR_WORDS = [frozenset(window_words(SLOT.sub(" § ", t))) for _, t in EXEMPLARS]
 VOCABULARY = frozenset().union(*EXEMPLAR_WORDS)
 PLAIN_VOCABULARY = VOCABULARY - {"§"}
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: Counter = Counter()
-    find = re.compile(r"[^\W_]+").findall
+    find = WORD.findall
     for batch in batches:
         for text in batch.column(0).to_pylist():
             n[""] += 1
@@ -155,30 +160,47 @@ class ResidueIndex:
         k, m = max(mass.items(), key=lambda x: (x[1], -x[0]))
         return m / total, k
 
+    def contained(self, words: list[str]) -> int:
+        """The exemplar that contains the window, or -1."""
+        total = known = 0.0
+        find, other = self.idf.get, self.other
+        for w in set(words):
+            idf = find(w)
+            if idf is None:
+                total += other
+            else:
+                known += idf
+        total += known
+        if known < CONTAINED * total:  # not even in all exemplars together
+            return -1
+        score, k = self.containment(words)
+        return k if score >= CONTAINED else -1
+
     def label(self, text: str) -> str | None:
         """The residue label of a document, or none if it has content."""
-        lines = [x for x in SLOT.sub(" § ", TAGS.sub("\n", text)).split("\n") if x.strip()]
+        lines = [x for x in marked_slots(TAGS.sub("\n", text) if "<" in text else text).split("\n") if x.strip()]
         body = [x for x in lines if not FURNITURE.match(x) and not AUTHORS.match(x.strip())]
         if not body:  # headings and furniture only
             body = lines
-        windows = [(i, window_words(w)) for i, line in enumerate(body) for w in WINDOW.split(line)]
-        windows = [(i, w) for i, w in windows if w]
-        total = sum(len(w) for _, w in windows)
-        if len(body) > 1:  # a heading line above the rest
-            head = [w for i, w in windows if i == 0]
-            if max((self.containment(w)[0] for w in head), default=1.0) < CONTAINED:
-                windows = [(i, w) for i, w in windows if i]
-                total = sum(len(w) for _, w in windows)
-        bare = 0
+        total = len(window_words("\n".join(body)))
+        first = [window_words(w) for w in WINDOW.split(body[0])]
+        if len(body) > 1 and any(first) and all(self.contained(w) < 0 for w in first if w):  # a heading line above the rest
+            total -= sum(map(len, first))
+            body = body[1:]
+        bare, allowed = 0, (1 - COVERED) * total
         labels: Counter = Counter()
-        for _, words in windows:
-            score, k = self.containment(words)
-            if score >= CONTAINED:
-                labels[EXEMPLARS[k][0]] += len(words)
-            else:
-                bare += len(words)
-                if bare > (1 - COVERED) * total:
-                    return None
+        for line in body:
+            for window in WINDOW.split(line):
+                words = window_words(window)
+                if not words:
+                    continue
+                k = self.contained(words)
+                if k >= 0:
+                    labels[EXEMPLARS[k][0]] += len(words)
+                else:
+                    bare += len(words)
+                    if bare > allowed:
+                        return None
         return labels.most_common(1)[0][0] if labels else None
 
 
