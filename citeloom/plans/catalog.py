@@ -66,7 +66,7 @@ def journal_year_counts(spark, d):
 
 
 RANKED = """, f AS (SELECT {c} AS {l}, count(*) AS n FROM {v} WHERE {c} IS NOT NULL GROUP BY 1)
-SELECT row_number() OVER (ORDER BY n DESC, {l}) AS rank, {l}, n AS papers, round(n * 100.0 / (SELECT sum(n) FROM f), 2) AS share FROM f ORDER BY n DESC, {l} LIMIT {k}"""
+SELECT (row_number() OVER (ORDER BY n DESC, {l}))::INT AS rank, {l}, n AS papers, round(n * 100.0 / (SELECT sum(n) FROM f), 2) AS share FROM f ORDER BY n DESC, {l} LIMIT {k}"""
 
 
 def _ranked(view: str, cte: str, column: str, label: str, k: int) -> str:
@@ -170,7 +170,7 @@ def lotka(spark, d):
 
 
 @register(V.PAPERS, sql=""", f AS (SELECT journal, count(*) AS n FROM papers_v WHERE journal IS NOT NULL GROUP BY journal),
-r AS (SELECT row_number() OVER (ORDER BY n DESC, journal) AS rank, journal, n, CAST(sum(n) OVER (ORDER BY n DESC, journal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM f)
+r AS (SELECT (row_number() OVER (ORDER BY n DESC, journal))::INT AS rank, journal, n, CAST(sum(n) OVER (ORDER BY n DESC, journal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM f)
 SELECT * FROM r WHERE cumulative <= (SELECT sum(n) FROM f) / 3.0 OR rank = 1""".lstrip())
 def bradford_core(spark, d):
     return Q.bradford_core(Q.frequency(V.papers(spark, d).filter("journal is not null"), "journal"))
@@ -285,7 +285,7 @@ def institution_collab(spark, d):
 
 
 QUADRANT = """, k AS (SELECT rec_id, count(*) AS k FROM countries_v GROUP BY 1),
-a AS (SELECT country, sum({w}) AS p, sum(times_cited * {w}) AS c FROM countries_v JOIN orders_v USING (rec_id) JOIN k USING (rec_id) GROUP BY 1),
+a AS (SELECT country, sum(({w})::DOUBLE) AS p, sum(times_cited * {w}) AS c FROM countries_v JOIN orders_v USING (rec_id) JOIN k USING (rec_id) GROUP BY 1),
 f AS (SELECT country, round(p, 2) AS publications, round(c / p, 2) AS avg_citations, round(c, 2) AS total_citations FROM a ORDER BY 2 DESC, 4 DESC, 1 LIMIT 10),
 m AS (SELECT quantile_cont(publications, 0.5) AS mp, quantile_cont(avg_citations, 0.5) AS mc FROM f)
 SELECT f.*, CASE WHEN publications >= mp AND avg_citations >= mc THEN 'High output & high impact' WHEN publications >= mp THEN 'High-output' WHEN avg_citations >= mc THEN 'High-quality' ELSE 'Low output & low impact' END AS quadrant FROM f, m"""
@@ -498,7 +498,7 @@ def opportunity_map(spark, d):
     return T.opportunity_map(V.keywords(spark, d), V.papers(spark, d))
 
 
-@register(V.PAPERS, sql="SELECT year, ntile(4) OVER (ORDER BY year) AS slice FROM (SELECT DISTINCT year FROM papers_v WHERE year IS NOT NULL)")
+@register(V.PAPERS, sql="SELECT year, (ntile(4) OVER (ORDER BY year))::INT AS slice FROM (SELECT DISTINCT year FROM papers_v WHERE year IS NOT NULL)")
 def year_slices(spark, d):
     return T.year_slices(V.papers(spark, d))
 
@@ -513,13 +513,13 @@ def split_terms_count(spark, d):
     return p.select("paper_id", F.explode(split_terms(F.col("keywords_plus"))).alias("x")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
-@register(sql=r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS n FROM documents")
+@register(sql=r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')))::INT AS n FROM documents")
 def normalize_markup(spark, d):
     t = F.regexp_replace(F.regexp_replace("text", "<[^>]+>", " "), "[ \t\n\r]+", " ")
     return table(spark, d, "documents").select("doc_id", F.length(F.trim(t)).alias("n"))
 
 
-@register(sql=r"""SELECT doc_id, len(regexp_extract_all(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b')) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM documents) WHERE regexp_matches(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b')""")
+@register(sql=r"""SELECT doc_id, len(regexp_extract_all(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b'))::INT AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM documents) WHERE regexp_matches(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b')""")
 def acronym_counts(spark, d):
     found = F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), F.lit(r"\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b"), F.lit(0))
     return table(spark, d, "documents").select("doc_id", F.size(found).alias("n")).filter("n > 0")

@@ -79,7 +79,7 @@ KEYWORDS = r"""keywords_v AS (
 REFERENCES = r"""refs_v AS (
   SELECT DISTINCT ON (link_id) citing_paper_id AS rec_id, upper(cited_key) AS ref, cited_year AS ref_year, cited_source AS ref_source FROM citation_links)"""
 CITATIONS = "edges_v AS (SELECT DISTINCT citing_paper_id AS src, cited_paper_id AS dst FROM citation_links WHERE cited_paper_id IS NOT NULL AND citing_paper_id IS NOT NULL)"
-ORDERS = "orders_v AS (SELECT o_orderkey AS rec_id, year(o_orderdate) AS year, o_orderpriority AS journal, floor(o_totalprice / 1000) AS times_cited FROM orders)"
+ORDERS = "orders_v AS (SELECT o_orderkey AS rec_id, year(o_orderdate)::INT AS year, o_orderpriority AS journal, floor(o_totalprice / 1000) AS times_cited FROM orders)"
 AUTHORS = "authors_v AS (SELECT l_orderkey AS rec_id, s_name AS author FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
 COUNTRIES = "countries_v AS (SELECT DISTINCT l_orderkey AS rec_id, n_name AS country FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"
 
