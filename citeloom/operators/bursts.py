@@ -116,3 +116,16 @@ def reference_bursts(refs: DataFrame, papers: DataFrame, top_n: int = 20, label:
     return burst_table(_series(counts), years, top_n, fallback=True)
 
 
+
+
+def register_udtf(spark, name: str = "kleinberg_bursts") -> None:
+    """``name(years, counts)`` as a table function: a row per burst of aligned arrays."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="start int, end int, weight double, score double")
+    class Bursts:
+        def eval(self, years: list, counts: list):
+            for i, j, w, s in burst_runs(np.asarray(counts or [])):
+                yield int(years[i]), int(years[j]), round(w, 2), round(s, 4)
+
+    spark.udtf.register(name, Bursts)

@@ -116,6 +116,15 @@ def cocitation(refs: DataFrame, label: str = "ref", key: str = "rec_id", top_n:
     return nodes.join(linked, label, "left_semi"), edges
 
 
+def first_seen(refs: DataFrame, nodes: DataFrame, label: str = "ref", key: str = "rec_id", source: str = "ref_source", year: str = "ref_year") -> DataFrame:
+    """``nodes`` with the source and year of each work where it is first cited with one."""
+    kept = refs.join(F.broadcast(nodes.select(label)), label, "left_semi")  # nodes are a top list
+    seen = kept.groupBy(label).agg(
+        F.min_by(source, F.when(F.col(source).isNotNull(), F.struct(key, source))).alias("journal"), F.min_by(year, F.when(F.col(year).isNotNull(), F.struct(key, year))).alias("year")
+    )
+    return nodes.join(seen, label, "left")
+
+
 def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min_shared: int = 2) -> DataFrame:
     """(a, b, weight): papers that share at least ``min_shared`` references.
 

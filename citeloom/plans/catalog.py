@@ -355,6 +355,15 @@ def cocitation_authors(spark, d):
     return N.cocitation(r, "author")[1]
 
 
+@register(V.REFERENCES, sql=""", top AS (SELECT ref, count(*) AS n FROM refs_v WHERE ref IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), k AS (SELECT DISTINCT rec_id, ref FROM refs_v WHERE ref IN (SELECT ref FROM top)),
+e AS (SELECT a.ref AS a, b.ref AS b FROM k a JOIN k b ON a.rec_id = b.rec_id AND a.ref < b.ref GROUP BY 1, 2 HAVING count(*) >= 2), l AS (SELECT a AS ref FROM e UNION SELECT b FROM e)
+SELECT top.ref, top.n, (SELECT arg_min(ref_source, struct_pack(r := rec_id, s := ref_source)) FROM refs_v r WHERE r.ref = top.ref AND ref_source IS NOT NULL) AS journal,
+(SELECT arg_min(ref_year, struct_pack(r := rec_id, s := ref_year)) FROM refs_v r WHERE r.ref = top.ref AND ref_year IS NOT NULL) AS year FROM top WHERE ref IN (SELECT ref FROM l)""".lstrip())
+def cocitation_nodes(spark, d):
+    refs = V.references(spark, d)
+    return N.first_seen(refs, N.cocitation(refs)[0])
+
+
 COUPLED = """b AS (SELECT DISTINCT rec_id, ref FROM refs_v WHERE ref IS NOT NULL),
 pairs AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS weight FROM b x JOIN b y ON x.ref = y.ref AND x.rec_id < y.rec_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 

@@ -243,3 +243,25 @@ def test_empty_tables(spark):
     k = spark.createDataFrame([], "rec_id long, keyword string")
     for df in (Q.by_year(p), Q.annual_growth(p), N.pair_counts(k, "keyword"), T.keyword_growth(k, p), T.publication_forecast(p), B.keyword_bursts(k, p), S.thematic_map(k), S.cluster_heatmap(k)):
         assert df.collect() == []
+
+
+def test_category_fallback(spark):
+    df = spark.createDataFrame([(None, "A; B"), ("nan", "A")], "first string, second string")
+    assert {(r.category, r.n) for r in Q.fallback_frequency(df, "first", "second").collect()} == {("A", 2), ("B", 1)}
+    both = spark.createDataFrame([("X", "A")], "first string, second string")
+    assert {r.category for r in Q.fallback_frequency(both, "first", "second").collect()} == {"X"}
+
+
+def test_coverage_and_window(spark):
+    df = spark.createDataFrame([("a", 2000), ("NaN", 2005), (None, 2010)], "t string, year int")
+    assert [(r.field, r.filled, r.coverage) for r in D.coverage(df, ["t"]).collect()] == [("t", 1, 0.3333)]
+    assert [r.year for r in D.year_window(df, 2003, 2050).collect()] == [2005, 2010]
+    assert D.year_window(df, 2008, 2003).count() == 0
+
+
+def test_topic_terms_and_extremes(spark):
+    di = spark.createDataFrame([(1, 0.5, 3, 1, 0, "Deep Maps"), (2, -0.25, 0, 0, 0, "x"), (3, 0.0, 5, 0, 2, "maps")], "rec_id long, di double, support long, citers long, references long, title string")
+    assert {r.rec_id for r in C.topic_match(di, ["MAPS"], ["title"]).collect()} == {1, 3}
+    assert [r.rec_id for r in C.disruption_extremes(di, min_support=3).collect()] == [1, 3]
+    assert [r.rec_id for r in C.disruption_extremes(di, min_support=3, min_references=1, mode="all").collect()] == [3]
+    assert tuple(C.disruption_summary(di).first()) == (3, 0.0833, 1, 1, 1)
