@@ -38,9 +38,13 @@ from citeloom.session import materialize, spread
 
 WS = " \t\r\n　"
 #: Delimiters: strong ones, the comma, words and signs between spaces, the tight semicolon.
-DELIM = rf"(?P<s>;(?=[{WS};|]|$)|(?<=[{WS};|]);|[；|\t\r\n]|(?<=[{WS}])[•·](?=[{WS}]))|(?P<c>,)|(?P<w>(?<=[{WS}])(?:and|&|/)(?=[{WS}]))|(?P<t>;)"
-PLAIN = re.compile(DELIM)
-SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|{DELIM}')
+STRONG = rf";(?=[{WS};|]|$)|(?<=[{WS};|]);|[；|\t\r\n]|(?<=[{WS}])[•·](?=[{WS}])"
+WEAK = rf"(?P<c>,)|(?P<w>(?<=[{WS}])(?:and|&|/)(?=[{WS}]))|(?P<t>;)"
+CUTS = re.compile(STRONG)
+CUT_SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|(?P<s>{STRONG})|(?P<w>,|(?<=[{WS}])(?:and|&|/)(?=[{WS}])|;)')
+SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|{WEAK}')
+WEAK_CUT = re.compile(WEAK)
+WEAK_KINDS = (None, ",", "", "t")  # by group
 QUOTED = re.compile(rf'"(?:[^"]|"")*+"(?=[{WS}]*+(?:$|[;；|•·,/]|(?:and|&)[{WS}]))')
 QUOTE_WHOLE = re.compile(r'"(?:[^"]|"")*+"')
 LETTERS = r"(?:[^\W\d_](?:\.[ -]?|[ -]|$)){1,4}"
@@ -103,69 +107,112 @@ def classed(part: str) -> str:
     return c
 
 
-def scan_cell(cell: str) -> list[tuple[int, int, str]]:
-    """Pieces between delimiters: (start, end, kind of the delimiter after it); the last has none."""
-    out: list[tuple[int, int, str]] = []
-    start = 0
+def _past_atom(text: str, m: re.Match, start: int, closing: int) -> int:
+    """Where to go on after a quotation mark or bracket: behind the atom if it is one."""
+    if m.lastgroup == "b":
+        return text.find("]", m.start()) + 1 if m.start() < closing else m.end()
+    q = None if text[start : m.start()].strip(WS) else QUOTED.match(text, m.start())
+    return q.end() if q else m.end()  # else a quotation mark inside a value
+
+
+def strong_pieces(cell: str) -> list[str]:
+    """The cell cut at its strong delimiters, quoted and bracketed spans kept whole."""
     if '"' not in cell and "[" not in cell:
-        for m in PLAIN.finditer(cell):
-            k = m.lastgroup
-            out.append((start, m.start(), "," if k == "c" else m.group() if k == "w" else k))
-            start = m.end()
-        out.append((start, len(cell), ""))
-        return out
-    at, closing = 0, cell.rfind("]")
-    while True:
-        m = SCAN.search(cell, at)
-        if m is None:
-            break
+        return CUTS.split(cell)
+    out: list[str] = []
+    start = part = at = 0
+    closing = cell.rfind("]")
+    while m := CUT_SCAN.search(cell, at):
         k = m.lastgroup
-        if k == "q":
-            q = None if cell[start : m.start()].strip(WS) else QUOTED.match(cell, m.start())
-            at = q.end() if q else m.end()  # else a quotation mark inside a value
-        elif k == "b":
-            at = cell.find("]", m.start()) + 1 if m.start() < closing else m.end()
+        if k in "qb":
+            at = _past_atom(cell, m, part, closing)
         else:
-            out.append((start, m.start(), "," if k == "c" else m.group() if k == "w" else k))
-            start = at = m.end()
-    out.append((start, len(cell), ""))
+            part = at = m.end()
+            if k == "s":
+                out.append(cell[start : m.start()])
+                start = at
+    out.append(cell[start:])
     return out
 
 
 Run = tuple[list[str], list[str], list[tuple[int, int]]]
 
 
-def runs_of(cell: str) -> list[Run]:
-    """Runs between strong delimiters: (parts, kinds between them, places of the parts in the cell)."""
-    runs: list[Run] = []
+def parse_run(run: str) -> Run:
+    """(parts, kinds of the weak delimiters between them, places of the parts)."""
     parts: list[str] = []
     kinds: list[str] = []
     places: list[tuple[int, int]] = []
-    pending = ""
-    strong = False
-    for a, b, kind in scan_cell(cell):
-        piece = cell[a:b]
+    if '"' not in run and "[" not in run:
+        start, pending = 0, ""
+        for m in WEAK_CUT.finditer(run):
+            a, b = m.span()
+            if p := run[start:a].strip(WS):
+                if parts:
+                    kinds.append(pending)
+                    pending = ""
+                start += run[start:a].index(p[0]) if run[start] != p[0] else 0
+                parts.append(p)
+                places.append((start, start + len(p)))
+            start = b
+            if not pending:
+                pending = WEAK_KINDS[m.lastindex] or m.group()
+        if p := run[start:].strip(WS):
+            if parts:
+                kinds.append(pending)
+            start = run.index(p[0], start)
+            parts.append(p)
+            places.append((start, start + len(p)))
+        return parts, kinds, places
+    pending, start, at, closing = "", 0, 0, run.rfind("]")
+    while True:
+        m = SCAN.search(run, at)
+        k = m.lastgroup if m else ""
+        if m and k in "qb":
+            at = _past_atom(run, m, start, closing)
+            continue
+        end = m.start() if m else len(run)
+        piece = run[start:end]
         p = piece.strip(WS)
         if p:
             if parts:
                 kinds.append(pending)
             parts.append(p)
-            a += len(piece) - len(piece.lstrip(WS))
+            a = start + len(piece) - len(piece.lstrip(WS))
             places.append((a, a + len(p)))
             pending = ""
-        if kind == "s":
-            strong = True
-            if parts:
-                runs.append((parts, kinds, places))
-                parts, kinds, places = [], [], []
-            pending = ""
-        else:
-            pending = pending or kind
-    if parts:
-        runs.append((parts, kinds, places))
-    if not strong:  # the kind also tells whether the cell has a strong delimiter at all
-        runs = [(p, [k + "o" for k in ks], at) for p, ks, at in runs]
-    return runs
+        if not m:
+            return parts, kinds, places
+        pending = pending or ("," if k == "c" else m.group() if k == "w" else "t")
+        start = at = m.end()
+
+
+def run_texts(cell: str) -> tuple[list[str], str]:
+    """Runs between strong delimiters, and the mark that kinds carry in a cell without any."""
+    pieces = strong_pieces(cell)
+    return [p for x in pieces if (p := x.strip(WS))], "" if len(pieces) > 1 else "o"
+
+
+def runs_of(cell: str) -> list[tuple[str, Run]]:
+    """Non-empty runs of a cell with their parts."""
+    texts, mark = run_texts(cell)
+    out = []
+    for t in texts:
+        parts, kinds, places = parse_run(t)
+        if parts:
+            out.append((t, (parts, [k + mark for k in kinds], places)))
+    return out
+
+
+class Memo(dict):
+    """A bounded memory of short strings."""
+
+    def keep(self, key, value):
+        if len(key[0]) <= LONG_PART:
+            if len(self) > 100_000:
+                self.clear()
+            self[key] = value
+        return value
 
 
 def clean_value(value: str) -> str:
@@ -243,31 +290,50 @@ def _join_score(m: dict, c: str, d: str, n: str) -> float:
     return (1 - m["end"].get(c, 0)) * m["inside"].get((c, n), 0) * m["join_use"].get((c, d), 0)
 
 
+def _shape(run: str, mark: str) -> tuple[tuple[str, str, str], ...]:
+    """(class, kind, class) of a run, from ``^`` to ``$``; empty if it has no part."""
+    parts, kinds, _ = parse_run(run)
+    if not parts:
+        return ()
+    cls = [classed(p) for p in parts]
+    return (("^", "", cls[0]), *((a, k + mark, b) for a, k, b in zip(cls, kinds, cls[1:])), (cls[-1], "", "$"))
+
+
 def _stats_of(batches: Iterable[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
+    shapes: Counter = Counter()
+    across: Counter = Counter()
+    memo = Memo()
     for batch in batches:
         for f in fields:
             for cell in batch.column(f).to_pylist():
                 if cell is None:
                     continue
+                texts, mark = run_texts(cell)
                 last = ""
-                for parts, kinds, _ in runs_of(cell):
-                    c = classed(parts[0])
-                    n[f, "^", "", c] += 1
-                    if last:
-                        n[f, last, "s", c] += 1
-                    last = c
-                    for k, p in zip(kinds, parts[1:]):
-                        c = classed(p)
-                        n[f, last, k, c] += 1
-                        last = c
-                    n[f, last, "", "$"] += 1
-    if n:
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys]) for i in range(4)] + [pa.array([n[k] for k in keys], pa.int64())],
-            ["f", "c", "d", "e", "n"],
-        )
+                for t in texts:
+                    key = (t, mark)
+                    shape = memo.get(key)
+                    if shape is None:
+                        shape = memo.keep(key, _shape(t, mark))
+                    if shape:
+                        shapes[f, shape] += 1
+                        if last:
+                            across[f, last, "s", shape[0][2]] += 1
+                        last = shape[-1][0]
+        if len(shapes) > 50_000:
+            yield _tally(shapes, across)
+            shapes, across = Counter(), Counter()
+    if shapes:
+        yield _tally(shapes, across)
+
+
+def _tally(shapes: Counter, across: Counter) -> pa.RecordBatch:
+    n = across
+    for (f, shape), k in shapes.items():
+        for c, d, e in shape:
+            n[f, c, d, e] += k
+    keys = list(n)
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(4)] + [pa.array([n[k] for k in keys], pa.int64())], ["f", "c", "d", "e", "n"])
 
 
 def _decide(model: dict[str, dict], field: str) -> dict[tuple[str, str, str], int]:
@@ -278,8 +344,29 @@ def _decide(model: dict[str, dict], field: str) -> dict[tuple[str, str, str], in
     }
 
 
+def _values(run: str, mark: str, rule: dict[tuple[str, str, str], int]) -> tuple[str, ...] | str:
+    """The values of a run, or ``?`` if the class chain leaves a cut undecided."""
+    parts, kinds, places = parse_run(run)
+    if not parts:
+        return ()
+    out: list[str] = []
+    last, begin = classed(parts[0]), places[0][0]
+    for i, k in enumerate(kinds, 1):
+        c = classed(parts[i])
+        what = rule.get((last, k + mark, c), 2)
+        if what == 2:
+            return "?"
+        if what == 1:
+            out.append(clean_value(run[begin : places[i - 1][1]]))
+            begin = places[i][0]
+        last = c
+    out.append(clean_value(run[begin : places[-1][1]]))
+    return tuple(out)
+
+
 def _segment(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[str, dict]) -> Iterator[pa.RecordBatch]:
-    decide = {f: _decide(model, f) for f in fields}
+    rules = [_decide(model, f) for f in fields]
+    memos = [Memo() for _ in fields]
     ctx = TaskContext.get()
     uid = (ctx.partitionId() if ctx else 0) << 40
     for batch in batches:
@@ -290,47 +377,37 @@ def _segment(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
         items: list[str] = []
         uids: list[int | None] = []
         for fi, f in enumerate(fields):
-            rule = decide[f]
+            rule, memo = rules[fi], memos[fi]
             for row, cell in enumerate(batch.column(f).to_pylist()):
                 if cell is None:
                     continue
-                values: list[str] | None = []
-                for parts, kinds, places in runs_of(cell):
-                    if not kinds:
-                        values.append(clean_value(parts[0]))
-                        continue
-                    last, begin, i = classed(parts[0]), places[0][0], 0
-                    for k in kinds:
-                        i += 1
-                        c = classed(parts[i])
-                        what = rule.get((last, k, c), 2)
-                        if what == 1:
-                            values.append(clean_value(cell[begin : places[i - 1][1]]))
-                            begin = places[i][0]
-                        elif what == 2:
-                            values = None
-                            break
-                        last = c
-                    if values is None:
+                values: list[str] = []
+                texts, mark = run_texts(cell)
+                for t in texts:
+                    key = (t, mark)
+                    own = memo.get(key)
+                    if own is None:
+                        own = memo.keep(key, _values(t, mark, rule))
+                    if own == "?":
                         break
-                    values.append(clean_value(cell[begin : places[-1][1]]))
-                uid += 1
-                if values is None:
-                    at.append(row)
-                    fs.append(fi)
-                    pos.append(0)
-                    items.append(cell)
-                    uids.append(uid)
+                    values += own
                 else:
                     n = 0
                     for v in values:
                         if v:
                             n += 1
-                            at.append(row)
-                            fs.append(fi)
-                            pos.append(n)
                             items.append(v)
-                            uids.append(None)
+                            pos.append(n)
+                    at += [row] * n
+                    fs += [fi] * n
+                    uids += [None] * n
+                    continue
+                uid += 1
+                at.append(row)
+                fs.append(fi)
+                pos.append(0)
+                items.append(cell)
+                uids.append(uid)
         if at:
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(at, pa.int64())), pa.array(fs, pa.int8()), pa.array(pos, pa.int32()), pa.array(items), pa.array(uids, pa.int64())],
@@ -338,8 +415,8 @@ def _segment(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
             )
 
 
-def span_text(cell: str, places: list[tuple[int, int]], i: int, j: int) -> str:
-    return clean_value(cell[places[i][0] : places[j][1]])
+def span_text(run: str, places: list[tuple[int, int]], i: int, j: int) -> str:
+    return clean_value(run[places[i][0] : places[j][1]])
 
 
 def allowed_spans(parts: list[str], kinds: list[str], rule: dict) -> Iterator[tuple[int, int]]:
@@ -368,9 +445,9 @@ def _spans(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[str
         rows: list[tuple] = []
         for uid, fi, cell in zip(*(batch.column(c).to_pylist() for c in ("uid", "f", "item"))):
             f = fields[fi]
-            for r, (parts, kinds, places) in enumerate(runs_of(cell)):
+            for r, (text, (parts, kinds, places)) in enumerate(runs_of(cell)):
                 for i, j in allowed_spans(parts, kinds, rules[f]):
-                    rows.append((uid, fi, r, i, j, span_text(cell, places, i, j)))
+                    rows.append((uid, fi, r, i, j, span_text(text, places, i, j)))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
@@ -449,19 +526,19 @@ def _by_cell(batches: Iterable[pa.RecordBatch], fields: list[str], model: dict[s
             for x in seen or []:
                 freq.setdefault(x["r"], {})[x["i"], x["j"]] = x["n"]
             runs = runs_of(cell)
-            yield ident, fi, cell, [
-                (p, at, lattice(p, k, model[f], rules[f], freq.get(r, {}), totals.get(f, 1.0))) for r, (p, k, at) in enumerate(runs)
+            yield ident, fi, [
+                (t, p, at, lattice(p, k, model[f], rules[f], freq.get(r, {}), totals.get(f, 1.0))) for r, (t, (p, k, at)) in enumerate(runs)
             ]
 
 
 def _expect(batches, fields, model, totals):
     n: Counter = Counter()
-    for _, fi, cell, runs in _by_cell(batches, fields, model, totals):
-        for parts, places, edges in runs:
+    for _, fi, runs in _by_cell(batches, fields, model, totals):
+        for text, parts, places, edges in runs:
             if len(parts) > 1:
                 for (i, j), q in posteriors(len(parts), edges).items():
                     if q > 1e-3:
-                        n[fi, span_text(cell, places, i, j)] += q
+                        n[fi, span_text(text, places, i, j)] += q
             else:
                 n[fi, clean_value(parts[0])] += 1.0
         if len(n) > 50_000:
@@ -486,11 +563,11 @@ def _choose(batches, fields, model, totals, id_type):
             [pa.array(cols[0], id_type), pa.array(cols[1], pa.int8()), pa.array(cols[2], pa.int32()), pa.array(cols[3])], ["id", "f", "pos", "item"]
         )
 
-    for ident, fi, cell, runs in _by_cell(batches, fields, model, totals):
+    for ident, fi, runs in _by_cell(batches, fields, model, totals):
         pos = 0
-        for parts, places, edges in runs:
+        for text, parts, places, edges in runs:
             for i, j in viterbi(len(parts), edges):
-                v = span_text(cell, places, i, j)
+                v = span_text(text, places, i, j)
                 if v:
                     pos += 1
                     out.append((ident, fi, pos, v))

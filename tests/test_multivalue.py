@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from citeloom.operators.multivalue import clean_value, learn_chain, posteriors, runs_of, scan_cell, split_packed, viterbi
+from citeloom.operators.multivalue import clean_value, learn_chain, posteriors, runs_of, split_packed, strong_pieces, viterbi
 
 NAMES = ["Adler", "Brandt", "Chevalier", "Duarte", "Eriksen", "Fontana", "Grün", "Haas", "Ivanov", "Jansen"]
 WORDS = ["citation", "network", "mapping", "retrieval", "water", "policy", "index", "growth", "model", "team"]
@@ -84,10 +84,14 @@ def test_rounds_must_be_positive(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet='ab ,;|"[]\t\n/&', max_size=30))
 def test_scan_covers_the_cell(cell):
-    pieces = scan_cell(cell)
-    assert pieces[0][0] == 0 and pieces[-1][1] == len(cell) and all(a[1] < b[0] for a, b in zip(pieces, pieces[1:]))
-    for parts, kinds, places in runs_of(cell):
-        assert len(parts) == len(kinds) + 1 == len(places) and all(cell[a:b] == p and p for p, (a, b) in zip(parts, places))
+    pieces = strong_pieces(cell)
+    rest = cell
+    for p in pieces:
+        at = rest.index(p)
+        assert not rest[:at].strip(";|\t\n")
+        rest = rest[at + len(p) :]
+    for text, (parts, kinds, places) in runs_of(cell):
+        assert len(parts) == len(kinds) + 1 == len(places) and all(text[a:b] == p and p for p, (a, b) in zip(parts, places))
 
 
 def test_awkward_long_cells(spark):
