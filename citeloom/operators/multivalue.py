@@ -150,7 +150,7 @@ def parse_run(run: str) -> Run:
             if p := run[start:a].strip(WS):
                 if parts:
                     kinds.append(pending)
-                    pending = ""
+                pending = ""
                 start += run[start:a].index(p[0]) if run[start] != p[0] else 0
                 parts.append(p)
                 places.append((start, start + len(p)))

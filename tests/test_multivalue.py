@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from citeloom.operators.multivalue import clean_value, learn_chain, posteriors, runs_of, split_packed, strong_pieces, viterbi
+from citeloom.operators.multivalue import clean_value, learn_chain, parse_run, posteriors, runs_of, split_packed, strong_pieces, viterbi
 
 NAMES = ["Adler", "Brandt", "Chevalier", "Duarte", "Eriksen", "Fontana", "Grün", "Haas", "Ivanov", "Jansen"]
 WORDS = ["citation", "network", "mapping", "retrieval", "water", "policy", "index", "growth", "model", "team"]
@@ -118,3 +118,14 @@ def test_lattice_paths_agree():
 def test_clean_value():
     assert clean_value('"a ""b"" c"') == 'a "b" c'
     assert clean_value('"grey" literature') == '"grey" literature'
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", " ", ",", " and ", " & ", ";", "/", " / "]), max_size=12))
+def test_plain_and_general_parse_agree(pieces):
+    """A bracket far behind forces the general path; the parts before it stay the same."""
+    run = "".join(pieces).strip(" ")
+    parts, kinds, places = parse_run(run)
+    longer = parse_run(f"{run}, [z")
+    if parts:
+        assert (longer[0][:-1], longer[1][:-1], longer[2][:-1]) == (parts, kinds, places)
