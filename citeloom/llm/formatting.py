@@ -57,10 +57,10 @@ def formatting_duplicates(papers: DataFrame, id_col: str = "paper_id", title: st
 
     ``group_id`` is the smallest id of the group; the group's first row is a member too.
     Rows without title (or with a stand-in), authors, or a year from 1900 on are left out.
-    Rows with null ids are left out; an empty table gives an empty result.
+    Rows with null ids are left out, repeated rows count once; an empty table gives an empty result.
     """
     base = papers.select(F.col(id_col).alias("id"), F.col(title).alias("t"), F.col(authors).alias("au"), year_number(F.col(year)).alias("y"))
-    base = base.filter(F.col("id").isNotNull() & ~is_stand_in(F.col("t")) & ~is_blank(F.col("au")) & (F.col("y") >= 1900))
+    base = base.filter(F.col("id").isNotNull() & ~is_stand_in(F.col("t")) & ~is_blank(F.col("au")) & (F.col("y") >= 1900)).distinct()
     leaves = base.select("id", bare_text(F.col("t")).alias("t"), "y").filter("t <> ''")
     people = (
         split_packed(base.select("id", "au"), "id", ["au"])

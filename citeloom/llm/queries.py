@@ -136,7 +136,7 @@ def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_repaired(spark, sf_dir).select("paper_id", "field_name")
+    return p7_repaired(spark, sf_dir).select("paper_id", "field_name").distinct()
 
 
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ def record_terms(papers: DataFrame, id_col: str = "paper_id") -> DataFrame:
     """(``id_col``, term, n): each term of a record with its number of occurrences there.
 
     Terms are the packed values of ``author_keywords`` and the ``;`` pieces of
-    ``keywords_plus``, in lower case with single spaces. Missing cells give no row.
+    ``keywords_plus``, in lower case with single spaces. Missing cells give no row; rows with the
+    same id are one record.
     """
     own = split_packed(papers, id_col, ["author_keywords"]).select(id_col, term_key(F.col("item")).alias("term"))
     plus = (

@@ -150,6 +150,7 @@ def test_formatting_duplicates(spark):
         (5, "Non-linear Growth", "Smith, J. A.; Lee, K.", "2020"), (3, "NON LINEAR  GROWTH.", "K. Lee; J. A. Smith", " 2020.0 "), (7, "Non-linear growth", "Smith J A | Lee K", "2020"),
         (8, "Non-linear growth", "Smith, J.; Lee, K.", "2020"), (9, "Non-linear growth", "Smith, J. A.; Lee, K.", "2021"), (10, "N/A", "Smith, J. A.; Lee, K.", "2020"), (11, "N/A", "Smith, J. A.; Lee, K.", "2020"),
         (12, "Alone", None, "2020"), (13, "Alone", None, "2020"), (14, "Große Maße", "Ü, T.", "1999"), (15, "GROSSE MASSE", "Ü, T", "1999.0"), (16, "Old", "A, B.", "85"), (17, "Old", "A, B.", "85"), (18, None, None, None),
+        (3, "NON LINEAR  GROWTH.", "K. Lee; J. A. Smith", " 2020.0 "),
     ]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "paper_id long, title string, authors string, pub_year string, id long, root string")
     got = {(r.group_id, r.member_id): r.copies for r in formatting_duplicates(df).collect()}
