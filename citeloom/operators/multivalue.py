@@ -41,6 +41,11 @@ WS = " \t\r\n　"
 STRONG = rf";(?=[{WS};|]|$)|(?<=[{WS};|]);|[；|\t\r\n]|(?<=[{WS}])[•·](?=[{WS}])"
 WEAK = rf"(?P<c>,)|(?P<w>(?<=[{WS}])(?:and|&|/)(?=[{WS}]))|(?P<t>;)"
 CUTS = re.compile(STRONG)
+RARE_CUT = re.compile(r"[；|\t\r\n•·]")
+BRACKET_CUTS = re.compile(rf"\[[^\]]*\]|({STRONG})")
+BRACKET_WEAK = re.compile(rf"\[[^\]]*\]|{WEAK}")
+#: Cells with more brackets are scanned step by step.
+FEW = 200
 CUT_SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|(?P<s>{STRONG})|(?P<w>,|(?<=[{WS}])(?:and|&|/)(?=[{WS}])|;)')
 SCAN = re.compile(rf'(?P<q>")|(?P<b>\[)|{WEAK}')
 WEAK_CUT = re.compile(WEAK)
@@ -117,8 +122,23 @@ def _past_atom(text: str, m: re.Match, start: int, closing: int) -> int:
 
 def strong_pieces(cell: str) -> list[str]:
     """The cell cut at its strong delimiters, quoted and bracketed spans kept whole."""
-    if '"' not in cell and "[" not in cell:
-        return CUTS.split(cell)
+    if '"' not in cell:
+        if "[" not in cell:
+            if RARE_CUT.search(cell):
+                return CUTS.split(cell)
+            pieces = cell.split("; ")  # the common delimiter first, what is left by pattern
+            if cell.count(";") == len(pieces) - 1:
+                return pieces
+            return [x for p in pieces for x in (CUTS.split(p) if ";" in p else (p,))]
+        if cell.count("[") <= FEW:
+            out, start = [], 0
+            for m in BRACKET_CUTS.finditer(cell):
+                if m.lastindex:
+                    a, b = m.span()
+                    out.append(cell[start:a])
+                    start = b
+            out.append(cell[start:])
+            return out
     out: list[str] = []
     start = part = at = 0
     closing = cell.rfind("]")
@@ -143,9 +163,11 @@ def parse_run(run: str) -> Run:
     parts: list[str] = []
     kinds: list[str] = []
     places: list[tuple[int, int]] = []
-    if '"' not in run and "[" not in run:
+    if '"' not in run and run.count("[") <= FEW:
         start, pending = 0, ""
-        for m in WEAK_CUT.finditer(run):
+        for m in (BRACKET_WEAK if "[" in run else WEAK_CUT).finditer(run):
+            if not m.lastindex:
+                continue
             a, b = m.span()
             if p := run[start:a].strip(WS):
                 if parts:

@@ -88,7 +88,7 @@ def test_scan_covers_the_cell(cell):
     rest = cell
     for p in pieces:
         at = rest.index(p)
-        assert not rest[:at].strip(";|\t\n")
+        assert not rest[:at].strip(";|\t\n ")
         rest = rest[at + len(p) :]
     for text, (parts, kinds, places) in runs_of(cell):
         assert len(parts) == len(kinds) + 1 == len(places) and all(text[a:b] == p and p for p, (a, b) in zip(parts, places))
