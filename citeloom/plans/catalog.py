@@ -46,6 +46,20 @@ def register(*views: str, sql: str | None = None, name: str | None = None):
     return keep
 
 
+def register_keywords(*views: str, sql: str):
+    """Register a query of ``keywords_plus`` with its SQL and, as NAME_all, the same over both fields.
+
+    Packed ``author_keywords`` are beyond SQL, so NAME_all has none.
+    """
+
+    def keep(f: Query) -> Query:
+        register(*views, sql=sql)(f)
+        register(name=f"{f.__name__}_all")(lambda spark, d: f(spark, d, V.all_keywords))
+        return f
+
+    return keep
+
+
 @register()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every value of the packed cells of ``papers`` with its field and position."""
@@ -55,9 +69,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 # --- frequencies and descriptive tables ---
 
 
-@register(V.KEYWORDS, sql="SELECT keyword, count(*) AS n FROM keywords_v GROUP BY keyword")
-def keyword_frequency(spark, d):
-    return Q.frequency(V.keywords(spark, d), "keyword")
+@register_keywords(V.KEYWORDS, sql="SELECT keyword, count(*) AS n FROM keywords_v GROUP BY keyword")
+def keyword_frequency(spark, d, keywords=V.keywords):
+    return Q.frequency(keywords(spark, d), "keyword")
 
 
 @register(V.PAPERS, sql="SELECT journal, year, count(*) AS n FROM papers_v WHERE journal IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2")
@@ -137,10 +151,10 @@ def citation_histogram(spark, d):
     return Q.citation_histogram(V.papers(spark, d))
 
 
-@register(V.PAPERS, V.KEYWORDS, sql="""SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year, count(DISTINCT journal) AS journals,
+@register_keywords(V.PAPERS, V.KEYWORDS, sql="""SELECT count(*) AS records, min(year) AS first_year, max(year) AS last_year, count(DISTINCT journal) AS journals,
 (SELECT count(DISTINCT keyword) FROM keywords_v) AS keywords FROM papers_v""")
-def overview_metrics(spark, d):
-    return Q.overview(V.papers(spark, d), V.keywords(spark, d))
+def overview_metrics(spark, d, keywords=V.keywords):
+    return Q.overview(V.papers(spark, d), keywords(spark, d))
 
 
 FIELDS = ["title", "authors", "doi", "abstract", "journal", "author_keywords", "keywords_plus", "affiliations", "cited_references"]
@@ -176,9 +190,9 @@ def bradford_core(spark, d):
     return Q.bradford_core(Q.frequency(V.papers(spark, d).filter("journal is not null"), "journal"))
 
 
-@register(V.KEYWORDS, sql="SELECT n AS frequency, count(*) AS labels FROM (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY keyword) GROUP BY n")
-def keyword_freq_of_freq(spark, d):
-    return Q.frequency_of_frequency(keyword_frequency(spark, d))
+@register_keywords(V.KEYWORDS, sql="SELECT n AS frequency, count(*) AS labels FROM (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY keyword) GROUP BY n")
+def keyword_freq_of_freq(spark, d, keywords=V.keywords):
+    return Q.frequency_of_frequency(keyword_frequency(spark, d, keywords))
 
 
 @register(V.PAPERS, sql=""", t AS (SELECT p.rec_id, p.year, trim(x) AS doctype FROM (SELECT rec_id, year, unnest(string_split(coalesce(doctype, 'Unspecified'), ';')) AS x FROM papers_v) p WHERE trim(x) <> ''),
@@ -202,40 +216,40 @@ PAIRS = "pairs AS (SELECT a.{l} AS a, b.{l} AS b, count(*) AS weight FROM {v} a
 KW_PAIRS = PAIRS.format(l="keyword", v="keywords_v")
 
 
-@register(V.KEYWORDS, KW_PAIRS, sql="SELECT * FROM pairs WHERE weight >= 2")
-def cooccurrence_pairs(spark, d):
-    return N.pair_counts(V.keywords(spark, d), "keyword", min_weight=2)
+@register_keywords(V.KEYWORDS, KW_PAIRS, sql="SELECT * FROM pairs WHERE weight >= 2")
+def cooccurrence_pairs(spark, d, keywords=V.keywords):
+    return N.pair_counts(keywords(spark, d), "keyword", min_weight=2)
 
 
-@register(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), e AS (SELECT * FROM pairs WHERE weight >= 2 ORDER BY weight DESC, a, b LIMIT 500)
+@register_keywords(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), e AS (SELECT * FROM pairs WHERE weight >= 2 ORDER BY weight DESC, a, b LIMIT 500)
 SELECT a, b, weight, round(weight / (x.n::DOUBLE * y.n), 8) AS association FROM e JOIN top x ON x.keyword = a JOIN top y ON y.keyword = b""".lstrip())
-def association_strength(spark, d):
-    nodes, edges = N.keyword_network(V.keywords(spark, d))
+def association_strength(spark, d, keywords=V.keywords):
+    nodes, edges = N.keyword_network(keywords(spark, d))
     return N.association_strength(edges, nodes, "keyword").withColumn("association", F.round("association", 8))
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=""", k AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20), p AS (SELECT rec_id, journal FROM papers_v WHERE journal IS NOT NULL),
+@register_keywords(V.PAPERS, V.KEYWORDS, sql=""", k AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20), p AS (SELECT rec_id, journal FROM papers_v WHERE journal IS NOT NULL),
 j AS (SELECT journal FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15)
 SELECT keyword, journal, count(*) AS n FROM keywords_v JOIN p USING (rec_id) WHERE keyword IN (SELECT keyword FROM k) AND journal IN (SELECT journal FROM j) GROUP BY 1, 2""".lstrip())
-def keyword_journal_links(spark, d):
+def keyword_journal_links(spark, d, keywords=V.keywords):
     p = V.papers(spark, d).filter("journal is not null").select("rec_id", "journal")
-    return N.bipartite_links(V.keywords(spark, d), "keyword", p, "journal", 20, 15)
+    return N.bipartite_links(keywords(spark, d), "keyword", p, "journal", 20, 15)
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=""", k AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20), p AS (SELECT rec_id, journal FROM papers_v WHERE journal IS NOT NULL),
+@register_keywords(V.PAPERS, V.KEYWORDS, sql=""", k AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20), p AS (SELECT rec_id, journal FROM papers_v WHERE journal IS NOT NULL),
 j AS (SELECT journal FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15),
 l AS (SELECT keyword, journal, count(*) AS n FROM keywords_v JOIN p USING (rec_id) WHERE keyword IN (SELECT keyword FROM k) AND journal IN (SELECT journal FROM j) GROUP BY 1, 2),
 r AS (SELECT keyword, row_number() OVER (ORDER BY sum(n) DESC, keyword) AS r FROM l GROUP BY keyword)
 SELECT journal, round(sum(r * n) * 1.0 / sum(n), 4) AS barycentre FROM l JOIN r USING (keyword) GROUP BY journal""".lstrip())
-def bipartite_barycentre(spark, d):
-    return N.bipartite_barycentre(keyword_journal_links(spark, d), "keyword", "journal")
+def bipartite_barycentre(spark, d, keywords=V.keywords):
+    return N.bipartite_barycentre(keyword_journal_links(spark, d, keywords), "keyword", "journal")
 
 
-@register(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, n, row_number() OVER (ORDER BY n DESC, keyword) AS i FROM (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1) ORDER BY n DESC, keyword LIMIT 15)
+@register_keywords(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, n, row_number() OVER (ORDER BY n DESC, keyword) AS i FROM (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1) ORDER BY n DESC, keyword LIMIT 15)
 SELECT r.keyword AS row, c.keyword AS col, CASE WHEN r.i = c.i THEN 1.0 ELSE round(coalesce(weight, 0) * 1.0 / (r.n + c.n - coalesce(weight, 0)), 4) END AS value
 FROM top r JOIN top c ON c.i <= r.i LEFT JOIN (SELECT * FROM pairs WHERE weight >= 2) p ON p.a = least(r.keyword, c.keyword) AND p.b = greatest(r.keyword, c.keyword)""".lstrip())
-def jaccard_matrix(spark, d):
-    return N.jaccard(V.keywords(spark, d))
+def jaccard_matrix(spark, d, keywords=V.keywords):
+    return N.jaccard(keywords(spark, d))
 
 
 @register(V.ORDERS, V.AUTHORS, V.COUNTRIES, sql=""", ak AS (SELECT rec_id, author, country FROM authors_v JOIN countries_v USING (rec_id)),
@@ -407,28 +421,28 @@ def consolidating_extremes(spark, d):
     return C.disruption_extremes(disruption_index(spark, d), "consolidating", min_support=3, min_references=1, mode="all")
 
 
-@register(V.KEYWORDS, KW_PAIRS, "e AS (SELECT * FROM pairs WHERE weight >= 3)", sql=""", s AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT x AS node, count(*) AS degree FROM s GROUP BY 1),
+@register_keywords(V.KEYWORDS, KW_PAIRS, "e AS (SELECT * FROM pairs WHERE weight >= 3)", sql=""", s AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT x AS node, count(*) AS degree FROM s GROUP BY 1),
 t AS (SELECT p.x AS node, count(*) AS triangles FROM s p JOIN s q ON p.x = q.x AND p.y < q.y JOIN e ON e.a = p.y AND e.b = q.y GROUP BY 1)
 SELECT node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 4) AS coefficient FROM dg LEFT JOIN t USING (node)""".lstrip())
-def clustering_coefficient(spark, d):
-    return N.clustering(N.pair_counts(V.keywords(spark, d), "keyword", min_weight=3))
+def clustering_coefficient(spark, d, keywords=V.keywords):
+    return N.clustering(N.pair_counts(keywords(spark, d), "keyword", min_weight=3))
 
 
-@register(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), e AS (SELECT * FROM pairs WHERE weight >= 2 ORDER BY weight DESC, a, b LIMIT 500),
+@register_keywords(V.KEYWORDS, KW_PAIRS, sql=""", top AS (SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), e AS (SELECT * FROM pairs WHERE weight >= 2 ORDER BY weight DESC, a, b LIMIT 500),
 k AS (SELECT count(*) AS m FROM e WHERE a IN (SELECT keyword FROM top) AND b IN (SELECT keyword FROM top)), n AS (SELECT count(*) AS n FROM top)
 SELECT n AS nodes, m AS edges, round(2.0 * m / (n * (n - 1)), 4) AS density, round(2.0 * m / n, 2) AS avg_degree FROM k, n""".lstrip())
-def network_density_degree(spark, d):
-    nodes, edges = N.keyword_network(V.keywords(spark, d))
+def network_density_degree(spark, d, keywords=V.keywords):
+    nodes, edges = N.keyword_network(keywords(spark, d))
     return N.network_summary(nodes, edges)
 
 
 # --- time series ---
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=""", t AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
+@register_keywords(V.PAPERS, V.KEYWORDS, sql=""", t AS (SELECT keyword FROM keywords_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
 SELECT keyword, year, count(*) AS n FROM keywords_v JOIN papers_v USING (rec_id) WHERE year IS NOT NULL AND keyword IN (SELECT keyword FROM t) GROUP BY 1, 2""".lstrip())
-def keyword_timeline(spark, d):
-    return T.timeline(V.keywords(spark, d), V.papers(spark, d))
+def keyword_timeline(spark, d, keywords=V.keywords):
+    return T.timeline(keywords(spark, d), V.papers(spark, d))
 
 
 SELECTED = ["BIBLIOMETRICS", "CITATION ANALYSIS", "MAPPING", "SCIENCE"]
@@ -442,19 +456,24 @@ def selected_keyword_share(spark, d):
     return T.selected_share(V.keywords(spark, d), V.papers(spark, d), SELECTED)
 
 
+@register()
+def selected_keyword_share_all(spark, d):
+    return T.selected_share(V.all_keywords(spark, d), V.papers(spark, d), [s.title() for s in SELECTED])
+
+
 SHARES = """, cand AS (SELECT {l} FROM (SELECT {l}, count(*) AS n FROM {v} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}) WHERE n >= 3), pub AS (SELECT year, count(*) AS publications FROM {p} WHERE year IS NOT NULL GROUP BY 1),
 cnt AS (SELECT {l}, year, count(*) AS n FROM {v} JOIN {p} USING (rec_id) WHERE year IS NOT NULL GROUP BY 1, 2),
 y AS (SELECT cand.{l}, pub.year, coalesce(n, 0) AS n, publications, {share} AS share FROM cand CROSS JOIN pub LEFT JOIN cnt ON cnt.{l} = cand.{l} AND cnt.year = pub.year)"""
 KW_SHARES = SHARES.format(l="keyword", v="keywords_v", p="papers_v", k="{k}", share="round(coalesce(n, 0) * 100.0 / publications, 4)")
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=KW_SHARES.format(k=60).lstrip() + """, w AS (SELECT max(year) AS last, (SELECT max(year) FROM pub WHERE year < (SELECT max(year) FROM pub)) AS prev FROM pub),
+@register_keywords(V.PAPERS, V.KEYWORDS, sql=KW_SHARES.format(k=60).lstrip() + """, w AS (SELECT max(year) AS last, (SELECT max(year) FROM pub WHERE year < (SELECT max(year) FROM pub)) AS prev FROM pub),
 s AS (SELECT keyword, max(n) FILTER (year = last) AS latest_count, max(n) FILTER (year = prev) AS previous_count, max(share) FILTER (year = last) AS ls, max(share) FILTER (year = prev) AS ps,
   max(publications) FILTER (year = prev) AS pp, CASE WHEN count(DISTINCT share) > 1 THEN regr_slope(share, year) ELSE 0 END AS slope, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS active_years, any_value(last) AS last, any_value(prev) AS prev FROM y, w GROUP BY keyword)
 SELECT keyword, last AS latest_year, prev AS previous_year, latest_count, previous_count, round(ls, 3) AS latest_share, round(ps, 3) AS previous_share, round((ls - ps) / greatest(ps, 100.0 / greatest(pp, 1)) * 100, 2) AS growth,
   round(ls - ps, 3) AS net_change, round(slope, 4) AS trend_slope, total, active_years FROM s WHERE latest_count >= 2 AND ps IS NOT NULL""")
-def keyword_growth(spark, d):
-    return T.keyword_growth(V.keywords(spark, d), V.papers(spark, d))
+def keyword_growth(spark, d, keywords=V.keywords):
+    return T.keyword_growth(keywords(spark, d), V.papers(spark, d))
 
 
 @register(V.PAPERS, sql=""", c AS (SELECT year, count(*) AS n FROM papers_v WHERE year IS NOT NULL GROUP BY 1), r AS (SELECT * FROM c ORDER BY year DESC LIMIT 8), f AS (SELECT regr_slope(n, year) AS s, regr_intercept(n, year) AS i, max(year) AS last FROM r)
@@ -498,13 +517,13 @@ def leadership_shift(spark, d):
     return T.leadership_shift(V.countries(spark, d), V.orders(spark, d), "country")
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=KW_SHARES.format(k=40).lstrip() + WINDOWS + """,
+@register_keywords(V.PAPERS, V.KEYWORDS, sql=KW_SHARES.format(k=40).lstrip() + WINDOWS + """,
 s AS (SELECT keyword, avg(share) FILTER (r <= 2) AS r, avg(share) FILTER (r IN (3, 4)) AS b, max(publications) FILTER (r IN (3, 4)) AS p, CAST(coalesce(sum(n) FILTER (r <= 2), 0) AS BIGINT) AS recent_count, CAST(sum(n) AS BIGINT) AS total FROM y JOIN rk USING (year) GROUP BY 1),
 o AS (SELECT keyword, round(r, 3) AS recent_share, round(b, 3) AS baseline_share, round((r - b) / greatest(b, 100.0 / greatest(p, 1)) * 100, 2) AS growth, recent_count, total FROM s WHERE recent_count > 0 AND total >= 3),
 m AS (SELECT quantile_cont(recent_share, 0.5) AS mid FROM o)
 SELECT o.*, CASE WHEN recent_share >= mid AND growth >= 0 THEN 'Core Hotspots' WHEN growth >= 0 THEN 'Emerging Signals' WHEN recent_share >= mid THEN 'Mature but Cooling' ELSE 'Niche / Weakening' END AS signal FROM o, m""")
-def opportunity_map(spark, d):
-    return T.opportunity_map(V.keywords(spark, d), V.papers(spark, d))
+def opportunity_map(spark, d, keywords=V.keywords):
+    return T.opportunity_map(keywords(spark, d), V.papers(spark, d))
 
 
 @register(V.PAPERS, sql="SELECT year, (ntile(4) OVER (ORDER BY year))::INT AS slice FROM (SELECT DISTINCT year FROM papers_v WHERE year IS NOT NULL)")
@@ -556,9 +575,18 @@ def exact_dedup(spark, d):
 @register(V.KEYWORDS, sql=""", t AS (SELECT DISTINCT rec_id, CASE WHEN keyword = 'SCIENTOMETRICS' THEN 'BIBLIOMETRICS' ELSE keyword END AS keyword FROM keywords_v)
 SELECT keyword, count(*) AS n FROM t WHERE keyword NOT IN ('SCIENCE') GROUP BY 1""".lstrip())
 def governance_alias_block(spark, d):
-    k = V.keywords(spark, d)
-    alias = spark.createDataFrame([("SCIENTOMETRICS", "BIBLIOMETRICS")], "alias string, new string")
-    blocked = spark.createDataFrame([("SCIENCE",)], "keyword string")
+    return _governed_frequency(V.keywords(spark, d), "SCIENTOMETRICS", "BIBLIOMETRICS", "SCIENCE")
+
+
+@register()
+def governance_alias_block_all(spark, d):
+    return _governed_frequency(V.all_keywords(spark, d), "Scientometrics", "Bibliometrics", "Science")
+
+
+def _governed_frequency(k: DataFrame, alias_of: str, name: str, block: str) -> DataFrame:
+    spark = k.sparkSession
+    alias = spark.createDataFrame([(alias_of, name)], "alias string, new string")
+    blocked = spark.createDataFrame([(block,)], "keyword string")
     named = k.join(F.broadcast(alias), k.keyword == F.col("alias"), "left").select("rec_id", F.coalesce("new", "keyword").alias("keyword"))
     return Q.frequency(named.join(F.broadcast(blocked), "keyword", "left_anti").distinct(), "keyword")
 
@@ -626,7 +654,7 @@ def paper_labels(spark, d):
 
 @register()
 def keyword_bursts(spark, d):
-    return B.keyword_bursts(V.keywords(spark, d), V.papers(spark, d))
+    return B.keyword_bursts(V.all_keywords(spark, d), V.papers(spark, d))
 
 
 @register()
@@ -636,30 +664,30 @@ def reference_bursts(spark, d):
 
 @register()
 def louvain_clusters(spark, d):
-    nodes, edges = N.keyword_network(V.keywords(spark, d))
+    nodes, edges = N.keyword_network(V.all_keywords(spark, d))
     return S.communities(nodes, edges, "keyword")
 
 
 @register()
 def network_metrics(spark, d):
-    nodes, edges = N.keyword_network(V.keywords(spark, d))
+    nodes, edges = N.keyword_network(V.all_keywords(spark, d))
     return S.network_metrics(nodes, edges, "keyword")
 
 
 @register()
 def network_map(spark, d):
-    nodes, edges = N.keyword_network(V.keywords(spark, d))
+    nodes, edges = N.keyword_network(V.all_keywords(spark, d))
     return S.network_export(nodes, edges, "keyword")
 
 
 @register()
 def thematic_map(spark, d):
-    return S.thematic_map(V.keywords(spark, d))
+    return S.thematic_map(V.all_keywords(spark, d))
 
 
 @register()
 def cluster_heatmap(spark, d):
-    return S.cluster_heatmap(V.keywords(spark, d))
+    return S.cluster_heatmap(V.all_keywords(spark, d))
 
 
 @register()
@@ -680,12 +708,12 @@ def robustness(spark, d):
 
 @register()
 def theme_flow(spark, d):
-    return S.theme_flow(S.period_topics(V.keywords(spark, d), V.papers(spark, d)))
+    return S.theme_flow(S.period_topics(V.all_keywords(spark, d), V.papers(spark, d)))
 
 
 @register()
 def theme_chains(spark, d):
-    return S.theme_chains(S.period_topics(V.keywords(spark, d), V.papers(spark, d)))[0]
+    return S.theme_chains(S.period_topics(V.all_keywords(spark, d), V.papers(spark, d)))[0]
 
 
 @register()
@@ -700,7 +728,7 @@ def topics_over_time(spark, d):
 
 @register()
 def topics_against_keywords(spark, d):
-    return M.topics_against_keywords(M.topics(V.papers(spark, d), k=6)[0], keyword_frequency(spark, d))
+    return M.topics_against_keywords(M.topics(V.papers(spark, d), k=6)[0], keyword_frequency(spark, d, V.all_keywords))
 
 
 @register()
@@ -715,11 +743,11 @@ def stable_brokers(spark, d):
     return P.stable_brokers(robustness(spark, d))
 
 
-@register(V.AUTHORS, V.COUNTRIES, V.KEYWORDS, V.REFERENCES, sql="""SELECT (SELECT count(DISTINCT author) FROM authors_v) AS authors, (SELECT count(DISTINCT country) FROM countries_v) AS countries,
+@register_keywords(V.AUTHORS, V.COUNTRIES, V.KEYWORDS, V.REFERENCES, sql="""SELECT (SELECT count(DISTINCT author) FROM authors_v) AS authors, (SELECT count(DISTINCT country) FROM countries_v) AS countries,
 (SELECT count(DISTINCT keyword) FROM keywords_v) AS keywords, (SELECT count(DISTINCT ref) FROM refs_v) AS refs""")
-def distinct_counts(spark, d):
+def distinct_counts(spark, d, keywords=V.keywords):
     out = Q.distinct_count(V.authors(spark, d), "author", "authors")
-    for long, col, name in ((V.countries(spark, d), "country", "countries"), (V.keywords(spark, d), "keyword", "keywords"), (V.references(spark, d), "ref", "refs")):
+    for long, col, name in ((V.countries(spark, d), "country", "countries"), (keywords(spark, d), "keyword", "keywords"), (V.references(spark, d), "ref", "refs")):
         out = out.withColumn(name, Q.distinct_count(long, col, name).scalar())
     return out
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.functions import keywords as K
 from citeloom.functions.text import is_blank, split_terms, trim_ws
+from citeloom.operators.multivalue import split_packed
 from citeloom.operators.records import number_or_zero, safe_year
-from citeloom.session import table
+from citeloom.session import materialize, spread, table
 
 MAX_YEAR = 2030
 
@@ -35,6 +37,20 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("paper_id").alias("rec_id"), F.explode(split_terms(F.col("keywords_plus"))).alias("keyword")).distinct()
 
 
+def all_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, keyword): distinct normalised terms of ``author_keywords`` and ``keywords_plus``.
+
+    Papers without a term in either have the automatic terms of title and abstract.
+    """
+    p = table(spark, d, "papers").withColumnRenamed("paper_id", "rec_id")
+    own = split_packed(p, "rec_id", ["author_keywords"]).select("rec_id", F.col("item").alias("keyword"))
+    plus = p.select("rec_id", F.explode(split_terms(F.col("keywords_plus"))).alias("keyword"))
+    terms = materialize(K.normalized_terms(own.unionByName(plus), "keyword").select("rec_id", "keyword").distinct(), "terms")
+    bare = spread(p.select("rec_id", "title", "abstract").join(terms.select("rec_id").distinct(), "rec_id", "left_anti"))
+    found = K.automatic_terms(bare, "rec_id").select("rec_id", F.col("term").alias("keyword"))
+    return materialize(terms.unionByName(found), "keywords")
+
+
 def references(spark: SparkSession, d: str) -> DataFrame:
     """(rec_id, ref, ref_year, ref_source, raw): cited works, one row per delivered link."""
     c = table(spark, d, "citation_links")
