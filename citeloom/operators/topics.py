@@ -1,18 +1,22 @@
 """Topic models over titles and abstracts.
 
 Sentence embeddings are not available offline; TF-IDF features with LDA take their place. Every
-document is used: the vocabulary keeps the terms of the greatest document frequency, counts and
-assignment run over all rows.
+document is used: EM passes over all rows in each iteration, the vocabulary holds every term of two
+or more documents, counts and assignment run over all rows.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.keywords import text_tokens
+from citeloom.session import materialize, shared_dir, spread
+
+# No limit of the vocabulary (the largest int of the JVM).
+UNLIMITED = 2**31 - 1
 
 
 def topic_documents(papers: DataFrame, title: str = "title", abstract: str = "abstract", min_chars: int = 20) -> DataFrame:
@@ -22,13 +26,21 @@ def topic_documents(papers: DataFrame, title: str = "title", abstract: str = "ab
     return papers.filter(F.length(text) > min_chars).select("rec_id", "year", tokens.alias("tokens"))
 
 
-def topics(papers: DataFrame, k: int = 8, vocabulary: int = 2000, iterations: int = 8, words: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(info, assignments): (topic, documents, name) and (rec_id, year, topic)."""
-    docs = topic_documents(papers)
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=2).fit(docs)
-    feats = counts.transform(docs).select("rec_id", "year", "features")
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="features").fit(feats)
-    vocab = counts.vocabulary  # at most ``vocabulary`` words
+def tfidf(docs: DataFrame, vocabulary: int = UNLIMITED, min_df: int = 2) -> tuple[DataFrame, list[str]]:
+    """((rec_id, year, features), words): TF-IDF over the terms of ``min_df`` or more documents."""
+    counts = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocabulary, minDF=min_df).fit(docs)
+    raw = materialize(spread(counts.transform(docs).select("rec_id", "year", "counts")), "counts")
+    return IDF(inputCol="counts", outputCol="features").fit(raw).transform(raw).select("rec_id", "year", "features"), counts.vocabulary
+
+
+def topics(papers: DataFrame, k: int = 8, vocabulary: int = UNLIMITED, iterations: int = 20, words: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(info, assignments): (topic, documents, name) and (rec_id, year, topic).
+
+    The model (words x ``k``) and the words are held by the driver.
+    """
+    feats, vocab = tfidf(topic_documents(papers), vocabulary)
+    shared_dir(papers.sparkSession)  # the lineage of EM is cut by checkpoints
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", docConcentration=[1.1], topicConcentration=1.1, featuresCol="features").fit(feats)
     named = model.describeTopics(words).rdd.map(lambda r: (r.topic, "_".join(vocab[i] for i in r.termIndices))).collect()
     names = F.create_map(*[F.lit(x) for t, n in named for x in (t, n)])
     from pyspark.ml.functions import vector_to_array
