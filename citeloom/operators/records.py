@@ -93,11 +93,11 @@ def _anchors(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
 def fuzzy_groups(df: DataFrame, order: str, title: str, authors: str, year: str, ratio: float = 0.85) -> DataFrame:
     """(id, anchor) of rows that resemble an earlier row of their block.
 
-    Blocks are year and the first 20 letters and digits of title and authors. Equal texts are
+    Blocks are year (missing years are one) and the first 20 letters and digits of title and authors. Equal texts are
     collapsed before the pairwise step, so a block only holds different texts; the comparison
     is greedy in the order of rows, with ``ratio`` of the longest matching blocks.
     """
-    base = df.select(F.col(order).alias("id"), F.substring(F.col(year).cast("string"), 1, 4).alias("y"), fuzzy_key(F.col(title), F.col(authors)).alias("text"))
+    base = df.select(F.col(order).alias("id"), F.coalesce(F.substring(trim_ws(F.col(year).cast("string")), 1, 4), F.lit("")).alias("y"), fuzzy_key(F.col(title), F.col(authors)).alias("text"))
     base = base.filter("text <> ''").withColumn("b", F.substring("text", 1, 20))
     texts = base.groupBy("y", "b", "text").agg(F.min("id").alias("id"))
     many = texts.groupBy("y", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("y", "b")
