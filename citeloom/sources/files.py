@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 
@@ -12,20 +13,21 @@ from citeloom.functions import lookups as L
 
 # Encodings tried in turn.
 ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "cp1252", "latin-1"]
-SNIFF_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def sniff_encoding(path: str) -> str:
-    """The first encoding that decodes the head of a file strictly; an incomplete last character is allowed."""
-    with open(path.removeprefix("file://"), "rb") as f:
-        head = f.read(SNIFF_BYTES)
+    """The first encoding that decodes the whole file strictly; read in chunks."""
     for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return "utf-8" if name == "utf-8-sig" else name
-            except UnicodeDecodeError:
-                continue
+        decoder = codecs.getincrementaldecoder(name)("strict")
+        try:
+            with open(path.removeprefix("file://"), "rb") as f:
+                while chunk := f.read(CHUNK_BYTES):
+                    decoder.decode(chunk)
+                decoder.decode(b"", True)
+            return "utf-8" if name == "utf-8-sig" else name
+        except UnicodeDecodeError:
+            continue
     return "latin-1"
 
 
@@ -49,18 +51,20 @@ def standardize(df: DataFrame, source: str = "csv") -> DataFrame:
 def read_tagged(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A tab-delimited export: no quoting, short rows padded, surplus fields dropped, blank lines skipped."""
     raw = (
-        spark.read.option("header", True).option("sep", "\t").option("quote", "").option("encoding", _java(encoding or sniff_encoding(path)))
+        spark.read.option("header", True).option("sep", "\t").option("quote", "").option("encoding", _java(spark, encoding or sniff_encoding(path)))
         .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("enforceSchema", True).csv(path)
     )
     return standardize(raw, "tagged")
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", _java(encoding or sniff_encoding(path))).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", _java(spark, encoding or sniff_encoding(path))).csv(path)
     return standardize(raw, "csv")
 
 
-def _java(encoding: str) -> str:
+def _java(spark: SparkSession, encoding: str) -> str:
+    if encoding in ("gb18030", "cp1252"):  # Spark refuses charsets beyond a short list otherwise
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return {"utf-8": "UTF-8", "gb18030": "GB18030", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
 
 
