@@ -165,8 +165,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus without residue documents."""
-    return without_residue(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
+    """The corpus without residue documents, all columns."""
+    return without_residue(table(spark, sf_dir, "documents"))
 
 
 QUERIES = [
