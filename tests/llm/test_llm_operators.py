@@ -196,12 +196,37 @@ def test_copied_votes_are_discounted(spark):
     data = fusion_rows(spark, rows)
     from citeloom.llm.fusion import _claims, _votes
 
-    _, copy = estimate(_votes(_claims(data, "title")))
-    assert copy["b", "c"] > 0.9
+    _, copy = estimate(_votes(_claims(data, ["title"])))
+    assert copy["title", "b", "c"] > 0.9
     fused = {r.key: r.title_p for r in fuse(data, ["title"], declared=False).collect()}
     assert len(fused) == 120 and all(0 < p <= 1 for p in fused.values())
 
 
+def test_estimates_decide_between_rows_of_equal_rank_and_time(spark, monkeypatch):
+    """Ranks and times level: accuracy and copy discounts choose the row, ranks beat any votes."""
+    from citeloom.llm import fusion
+
+    rows, i = [], 0
+    for g in range(90):  # d and e agree with a; b and c share lies in a third of the groups
+        truth, lie = f"value {g} right", f"value {g} wrong {g % 7}"
+        bad = g % 3 == 0
+        for feed, v in (("b", lie if bad else truth), ("c", lie if bad else truth), ("d", truth), ("e", truth), ("a", truth)):
+            i += 1
+            rows.append((i, f"10.1234/{g}", v, "t", feed, "2020-01-01"))
+    rows += [(1001, "10.1234/tie", "said by copiers", "t", "b", "2020-01-01"), (1002, "10.1234/tie", "said by copiers", "t", "c", "2020-01-01"), (1003, "10.1234/tie", "said by others", "t", "d", "2020-01-01"), (1004, "10.1234/tie", "said by others", "t", "e", "2020-01-01")]
+    rows += [(2001, "10.1234/rank", "said by one", "t", "a", "2020-01-01"), *[(2002 + k, "10.1234/rank", "said by four", "t", f, "2020-01-01") for k, f in enumerate("bcde")]]
+    df = spark.createDataFrame(rows, "paper_id long, doi string, title string, abstract string, feed string, at string").withColumn("exported_at", F.to_timestamp("at"))
+    feeds = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 2), ("e", 2)], "feed string, trust_rank int")
+    data = grouped_rows(df, bare_doi(F.col("doi")), "paper_id", "feed", "exported_at", ["title", "abstract"], feeds)
+    got = {r.key: r.title_id for r in fuse(data, ["title"]).collect()}
+    assert got["10.1234/tie"] == 1003 and got["10.1234/rank"] == 2001
+    free = {r.key: r.title_id for r in fuse(data, ["title"], declared=False).collect()}
+    truths = {r[0]: r[2] for r in rows}
+    assert all(truths[free[f"10.1234/{g}"]].endswith("right") for g in range(90))  # accuracy of the free choice
+    monkeypatch.setattr(fusion, "estimate", lambda votes, **kw: ({}, {}))
+    assert {r.key: r.title_id for r in fuse(data, ["title"]).collect()}["10.1234/tie"] == 1001  # without estimates the smallest id
+
+
 # --- garbled text ---
 
 SAMPLES = ["Évolution de la región", "Großer Maßstab für Daten", "naïve café – “quoted” text’s", "Škoda Řím Łódź ńam", "5 °C ± 3 µm, β ≥ 2", "produção científica"]
