@@ -1,19 +1,24 @@
 """Template residue, filler, error pages and script notices.
 
-Labelled exemplars of residue are held in an inverted index over their words. A document is
-cut into passage windows (lines and sentences). For each window the exemplars that share its
-rarest words are retrieved; the TF-IDF containment of the window in an exemplar is the idf mass
-of the shared words over the mass of the window. Windows above a containment count as residue,
-and a document whose main content is mostly residue is excluded. Inverse document frequencies
-are counted over all documents.
+Labelled exemplars of residue (``residue_exemplars.tsv``, or a file of the caller's, and the
+messages of the HTTP status codes) are held in an inverted index over the beginnings of their
+words. A document is cut into passage windows (lines and sentences). The index retrieves the
+exemplars that share words with a window; the TF-IDF containment of the window is the tf-idf
+mass of its words that the best ``JOINED`` exemplars of one label hold over its whole mass.
+Windows above a containment count as residue, and a document whose main content is mostly
+residue is excluded. Inverse document frequencies are counted over all documents; a word that
+no exemplar holds weighs as much as the median word of the exemplars.
 """
 
 from __future__ import annotations
 
+import http
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,72 +26,6 @@ from pyspark.sql import functions as F
 
 from citeloom.session import spread
 
-# Labelled exemplars of residue, (label, text). "§" stands for a slot.
-EXEMPLARS = [
-    ("script", "Please enable JavaScript to view this article. This viewer needs scripts to display the text."),
-    ("script", "Please turn on JavaScript in your browser and reload this page to continue."),
-    ("script", "JavaScript is switched off in your browser. Turn it on and reload the page."),
-    ("script", "JavaScript is disabled. This site requires JavaScript to be enabled."),
-    ("script", "You need to allow scripts to read the rest."),
-    ("script", "This site works only with cookies and scripts allowed. You are seeing a reduced page because both are blocked."),
-    ("script", "noscript: content is rendered client-side; without scripting nothing can be shown here."),
-    ("script", "Loading… Loading… If the article does not appear, check that scripts are not blocked by an extension."),
-    ("script", "Your browser is too old to show this document. Update it or choose another reader."),
-    ("script", "Veuillez activer JavaScript pour afficher le résumé."),
-    ("script", "Bitte aktivieren Sie JavaScript, um den Volltext zu laden."),
-    ("script", "Active JavaScript en su navegador para consultar este registro."),
-    ("script", "Ative o JavaScript para ver o resumo completo."),
-    ("error", "404 Not Found"),
-    ("error", "The record you asked for does not exist on this server. Reference."),
-    ("error", "This page could not be found. Return to the catalogue home."),
-    ("error", "Error 503: the repository of is temporarily unavailable. Please retry in minutes."),
-    ("error", "503 Service Unavailable"),
-    ("error", "502 Bad Gateway — export node"),
-    ("error", "500 Internal Server Error. The request could not be completed. Incident."),
-    ("error", "query failed after s (code)"),
-    ("error", "403 Forbidden. You do not have permission to access this resource."),
-    ("error", "504 Gateway Timeout. The upstream server did not respond in time."),
-    ("error", "Content could not be loaded (error 500)."),
-    ("error", "SQL error near FROM articles at row; no results to display."),
-    ("error", "Traceback: could not render template record_view, line: field missing"),
-    ("error", "Access denied. Your institution does not hold a licence for this article. Ticket."),
-    ("error", "Your session has expired. Sign in again to view the abstract."),
-    ("error", "Too many requests from your address. Wait a moment and reload the search."),
-    ("error", "Please confirm you are human before the download can start. Tick the box and press continue."),
-    ("error", "Oops! Something went wrong while loading this page. Our librarians have been told."),
-    ("error", "Seite nicht gefunden. Bitte prüfen Sie die Adresse oder nutzen Sie die Suche."),
-    ("error", "Notice introuvable. La notice demandée n’existe plus (réf.)."),
-    ("error", "Page introuvable. Vérifiez l’adresse ou utilisez la recherche."),
-    ("error", "Se ha producido un error al cargar el documento. Inténtelo más tarde."),
-    ("error", "Página no encontrada. El registro solicitado no existe."),
-    ("error", "Página não encontrada. O registro pode ter sido removido."),
-    ("placeholder", "Title: [Insert title here] Authors: [Insert names] Abstract: [Insert abstract, max. words] Funding: [delete if none]"),
-    ("placeholder", "[insert results] [insert discussion] [insert methods] [insert introduction]"),
-    ("placeholder", "[Abstract text goes here]"),
-    ("placeholder", "Your text here. Replace this text with your content."),
-    ("placeholder", "Record summary: undefined. Authors: null. Journal: undefined. Published: NaN. Cited [object Object] times."),
-    ("placeholder", "TITLE OF THE MANUSCRIPT First A. Author, Second B. Author"),
-    ("placeholder", "Type or paste your abstract here. Do not exceed words. Keyword 1; keyword 2; keyword 3"),
-    ("placeholder", "ABSTRACT TO BE ADDED BY THE AUTHORS BEFORE SUBMISSION"),
-    ("placeholder", "In this paper we study § in. The sample had § records. Results show § (p = §). TODO: write conclusion."),
-    ("placeholder", "§ reports § publications in § between § and § (source: §)."),
-    ("placeholder", "Dear §, thank you for sending § to §. A decision will follow by §."),
-    ("placeholder", "<AUTHOR SURNAME>, <INITIALS> (<YEAR>). <TITLE OF ARTICLE>. <JOURNAL>, <VOL>(<NO>), <PAGES>."),
-    ("placeholder", "§ § Abstract § Keywords § Title § Authors § Affiliation § Year § Body"),
-    ("placeholder", "Résumé : [à compléter]. Mots-clés : [mot 1], [mot 2]. Texte provisoire, à remplacer avant envoi."),
-    ("placeholder", "Hier steht später die Zusammenfassung. Platzhaltertext – bitte ersetzen. Autor: N. N., Ort: N. N."),
-    ("placeholder", "Texto provisional, sustituir antes del envío. Resumen: [por completar]. Palabras clave: [palabra 1], [palabra 2]."),
-    ("placeholder", "Texto provisório, substituir antes do envio. Resumo: [a preencher]. Palavras-chave: [palavra 1], [palavra 2]."),
-    ("filler", "This is sample text. It only fills the page so that the layout can be judged."),
-    ("filler", "text text text text text text"),
-    ("filler", "xxx yyy xxx yyy xxx yyy"),
-    ("filler", "asdf asdf qwerty test test blah blah foo bar foo bar"),
-    ("filler", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"),
-    (
-        "filler",
-        "porta ipsum cursim novus modicum celer magnis vitae rutrum libra sed nodum lorem tempora feugia ipsis sitis quarta verba nulla ordo amet pictor velum tandem alum dolor",
-    ),
-]
 # Writings of unfilled slots.
 SLOT = re.compile(
     r"\{\{[^{}\n]*\}\}|[$#]\{[^{}\n]*\}|<%[^%\n]*%>|@@\w+@@|\[\[[^\[\]\n]*\]\]|%\w+%|%[sdSD]\b|\{[A-Za-z][A-Za-z_]{2,}\}|__\w+__|<[A-Za-z_]{3,}>|\b(?:XX+|NNN+|xx{3,})\b|\b0\.XX+\b"
@@ -100,8 +39,13 @@ FURNITURE = re.compile(
 AUTHORS = re.compile(r"^(?:(?:[^\W\d_]\.[ -]?){1,4}[^\W\d_]\w*(?:, | and |, and |$))+$")
 WINDOW = re.compile(r"\n+|(?<=[.!?])\s+")
 WORD = re.compile(r"§|[^\W\d_][^\W_]*")
-CONTAINED = 0.6
+#: Letters of a word that the index compares, so that inflected forms agree.
+STEM = 5
+#: Exemplars of one label that together may contain a window.
+JOINED = 3
+CONTAINED = 0.45
 COVERED = 0.6
+TABLE = os.path.join(os.path.dirname(__file__), "residue_exemplars.tsv")
 
 
 def window_words(text: str) -> list[str]:
@@ -113,18 +57,29 @@ def marked_slots(text: str) -> str:
     return SLOT.sub(" § ", text) if SLOT_SIGN.search(text) else text
 
 
-EXEMPLAR_WORDS = [frozenset(window_words(SLOT.sub(" § ", t))) for _, t in EXEMPLARS]
-VOCABULARY = frozenset().union(*EXEMPLAR_WORDS)
-PLAIN_VOCABULARY = VOCABULARY - {"§"}
+def read_exemplars(path: str = TABLE) -> list[tuple[str, str]]:
+    """(label, text) of a table of label, source and text, with the messages of the HTTP status codes."""
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if line.strip() and not line.startswith("#")]
+    status = [("error", f"HTTP error {s.value} {s.phrase}. {s.description}") for s in http.HTTPStatus if s.value >= 400]
+    return [(r[0], r[2]) for r in rows] + status
 
 
-def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stems(words: Iterable[str]) -> set[str]:
+    return {w[:STEM] for w in words}
+
+
+def vocabulary(exemplars: list[tuple[str, str]]) -> frozenset[str]:
+    return frozenset().union(*(stems(window_words(SLOT.sub(" § ", t))) for _, t in exemplars)) - {"§"}
+
+
+def _frequencies(batches: Iterable[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
     n: Counter = Counter()
     find = WORD.findall
     for batch in batches:
         for text in batch.column(0).to_pylist():
             n[""] += 1
-            n.update(PLAIN_VOCABULARY.intersection(find(text.casefold())))
+            n.update(known.intersection(stems(set(find(text.casefold())))))
     if n:
         yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
@@ -132,49 +87,65 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class ResidueIndex:
     """Inverted index of the exemplars with the idf of the words."""
 
-    def __init__(self, df: dict[str, int]):
+    def __init__(self, df: dict[str, int], exemplars: list[tuple[str, str]] | None = None, contained: float = CONTAINED, covered: float = COVERED):
+        self.exemplars = exemplars or read_exemplars()
+        self.threshold, self.covered = contained, covered
         total = max(df.get("", 1), 1)
-        self.idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 0.05 for w in VOCABULARY}
+        self.words = [stems(window_words(SLOT.sub(" § ", t))) for _, t in self.exemplars]
+        self.idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 0.05 for w in set().union(*self.words)}
         self.idf["§"] = math.log(total + 1) + 0.05
         ranked = sorted(self.idf.values())
         self.other = ranked[len(ranked) // 2]
         self.postings: dict[str, list[int]] = {}
-        for k, words in enumerate(EXEMPLAR_WORDS):
+        for k, words in enumerate(self.words):
             for w in words:
                 self.postings.setdefault(w, []).append(k)
+        self.weight = lru_cache(maxsize=500_000)(lambda w: self.idf.get(w[:STEM]))
 
     def containment(self, words: list[str]) -> tuple[float, int]:
-        """(greatest containment in one exemplar, its number)."""
+        """(greatest containment in exemplars of one label, the number of the first of them)."""
+        tf = Counter(w[:STEM] for w in words)
         mass: Counter = Counter()
         total = 0.0
-        for w in set(words):
+        for w, n in tf.items():
             idf = self.idf.get(w)
-            if idf is None:
-                total += self.other
-            else:
-                total += idf
-                for k in self.postings[w]:
-                    mass[k] += idf
-        if not mass:
-            return 0.0, -1
-        k, m = max(mass.items(), key=lambda x: (x[1], -x[0]))
-        return m / total, k
+            total += n * (self.other if idf is None else idf)
+            for k in self.postings.get(w, ()):
+                mass[k] += n * idf
+        best, first = 0.0, -1
+        ranked: dict[str, list[int]] = {}
+        for k, _ in sorted(mass.items(), key=lambda x: (-x[1], x[0])):
+            ranked.setdefault(self.exemplars[k][0], []).append(k)
+        for ks in ranked.values():
+            left, held = dict(tf), 0.0
+            for k in ks[:1]:
+                held += sum(left.pop(w) * self.idf[w] for w in self.words[k] if w in left)
+            for _ in range(JOINED - 1):  # the exemplar that adds most
+                gain, k = max(((sum(left[w] * self.idf[w] for w in self.words[k] if w in left), -k) for k in ks), default=(0.0, 0))
+                if gain <= 0:
+                    break
+                held += gain
+                for w in self.words[-k]:
+                    left.pop(w, None)
+            if held > best + 1e-12:
+                best, first = held, ks[0]
+        return (best / total if total else 0.0), first
 
     def contained(self, words: list[str]) -> int:
         """The exemplar that contains the window, or -1."""
         total = known = 0.0
-        find, other = self.idf.get, self.other
-        for w in set(words):
+        find, other = self.weight, self.other
+        for w in words:
             idf = find(w)
             if idf is None:
                 total += other
             else:
                 known += idf
         total += known
-        if known < CONTAINED * total:  # not even in all exemplars together
+        if known < self.threshold * total:  # not even in all exemplars together
             return -1
         score, k = self.containment(words)
-        return k if score >= CONTAINED else -1
+        return k if score >= self.threshold else -1
 
     def label(self, text: str) -> str | None:
         """The residue label of a document, or none if it has content."""
@@ -183,11 +154,11 @@ class ResidueIndex:
         if not body:  # headings and furniture only
             body = lines
         total = len(window_words("\n".join(body)))
-        first = [window_words(w) for w in WINDOW.split(body[0])]
+        first = [window_words(w) for w in WINDOW.split(body[0])] if body else []
         if len(body) > 1 and any(first) and all(self.contained(w) < 0 for w in first if w):  # a heading line above the rest
             total -= sum(map(len, first))
             body = body[1:]
-        bare, allowed = 0, (1 - COVERED) * total
+        bare, allowed = 0, (1 - self.covered) * total
         labels: Counter = Counter()
         for line in body:
             for window in WINDOW.split(line):
@@ -196,7 +167,7 @@ class ResidueIndex:
                     continue
                 k = self.contained(words)
                 if k >= 0:
-                    labels[EXEMPLARS[k][0]] += len(words)
+                    labels[self.exemplars[k][0]] += len(words)
                 else:
                     bare += len(words)
                     if bare > allowed:
@@ -204,8 +175,8 @@ class ResidueIndex:
         return labels.most_common(1)[0][0] if labels else None
 
 
-def _find(batches: Iterable[pa.RecordBatch], df: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    index = ResidueIndex(df)
+def _find(batches: Iterable[pa.RecordBatch], df: dict[str, int], exemplars: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    index = ResidueIndex(df, exemplars)
     for batch in batches:
         at, labels = [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
@@ -217,17 +188,20 @@ def _find(batches: Iterable[pa.RecordBatch], df: dict[str, int]) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(labels)], ["id", "label"])
 
 
-def residue_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def residue_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", exemplars: str = TABLE) -> DataFrame:
     """(``id_col``, label): documents whose main content is residue.
 
-    ``label`` is placeholder, filler, error or script. Null and blank texts have no content and
-    no residue: they are not reported. Repeated rows are reported as often as they occur.
+    ``label`` is placeholder, filler, error or script. ``exemplars`` is the path of the labelled
+    table, read once by the driver. Null and blank texts have no content and no residue: they
+    are not reported. Repeated rows are reported as often as they occur.
     """
+    known = read_exemplars(exemplars)
+    words = vocabulary(known)
     kind = docs.schema[id_col].dataType.simpleString()
     cells = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text is not null and trim(text) <> ''"))
-    counted = cells.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = cells.select("text").mapInArrow(lambda it: _frequencies(it, words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     df = {r.word: r.n for r in counted.collect()}  # at most one row per exemplar word
-    return cells.mapInArrow(lambda it: _find(it, df), f"id {kind}, label string").withColumnRenamed("id", id_col)
+    return cells.mapInArrow(lambda it: _find(it, df, known), f"id {kind}, label string").withColumnRenamed("id", id_col)
 
 
 def without_residue(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

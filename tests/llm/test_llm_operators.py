@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from citeloom.llm.leaks import Patterns, find_leaks, leak_report, words_of
 from citeloom.llm.mojibake import garbled_cells, repair
 from citeloom.llm.packing import Packer, load_counter, pack_texts, packing_summary
 from citeloom.llm.pairs import cooccurrence
-from citeloom.llm.residue import ResidueIndex, residue_documents, without_residue
+from citeloom.llm.residue import ResidueIndex, read_exemplars, residue_documents, without_residue
 from citeloom.llm.term_counts import TermStore, changed_records, signed_deltas
 from citeloom.llm.terms import record_terms
 
@@ -352,8 +353,33 @@ def test_residue(spark):
     assert residue_documents(df.limit(0)).count() == 0
 
 
-def test_containment_is_against_one_exemplar():
+def test_containment_in_joined_exemplars():
     index = ResidueIndex({"": 1000})
     score, _ = index.containment(re.findall(r"\w+", "internal server error"))
     assert score == 1.0
     assert index.containment(["unheard", "things"])[0] == 0.0
+    own = ResidueIndex({"": 1000}, [("error", "alpha beta"), ("error", "gamma delta"), ("filler", "omega sigma")])
+    assert own.containment(["alpha", "gamma"])[0] == 1.0  # two exemplars of one label together
+    assert 0 < own.containment(["alpha", "omega"])[0] < 1  # never of two labels
+    assert own.containment(["alpha", "alpha", "alpha", "other"])[0] > own.containment(["alpha", "other"])[0]  # repeated words weigh more
+
+
+def test_held_out_residue(spark):
+    """Recall of at least 0.9 on texts that are no exemplars, none of the contrast texts reported."""
+    folder = os.path.dirname(__file__)
+    rows = [line.rstrip("\n").split("\t") for line in open(f"{folder}/residue_heldout.tsv", encoding="utf-8") if not line.startswith("#")]
+    known = {t for _, t in read_exemplars()}
+    assert not known & {t for _, t in rows}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1 - i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id for r in residue_documents(docs.unionByName(more)).collect()}
+    residue = {-1 - i for i, (kind, _) in enumerate(rows) if kind != "content"}
+    assert len(residue & found) >= 0.9 * len(residue)
+    assert not {-1 - i for i, (kind, _) in enumerate(rows) if kind == "content"} & found
+
+
+def test_exemplars_of_the_caller(spark, tmp_path):
+    path = tmp_path / "own.tsv"
+    path.write_text("filler\tmine\twibble wobble wubble\n", encoding="utf-8")
+    df = spark.createDataFrame([(1, "wibble wobble wubble"), (2, "Mushrooms of the northern forest in autumn")], "doc_id long, text string")
+    assert [r.doc_id for r in residue_documents(df, exemplars=str(path)).collect()] == [1]
