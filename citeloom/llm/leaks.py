@@ -2,8 +2,10 @@
 
 Every run of ``words`` consecutive words of an item is a pattern. The shift table is keyed by
 blocks of two words: a block that no pattern holds lets the scan jump ``words - 1`` words, a
-block inside patterns jumps to their nearest end. Where the shift is 0 the suffix bucket of
-that block lists the pattern ends, and a direct comparison of the words confirms each.
+block inside patterns jumps to their nearest end. Where the shift is 0 the last ``TAIL`` words
+select a suffix bucket, the first ``HEAD`` words of the window a prefix within it, and a direct
+comparison of the words confirms each pattern left; so what is compared hardly grows with the
+number of items that share a phrase.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from citeloom.session import spread
 
 WORD = re.compile(r"[^\W_]+")
+#: Words of a pattern's end and beginning that select its bucket.
+TAIL, HEAD = 4, 2
 #: Words of all items in one shipped table; larger item sets are searched table by table.
 TABLE_WORDS = 1_000_000
 
@@ -33,7 +37,8 @@ class Patterns:
         self.m = words
         self.items: list[tuple[int, list[str]]] = []
         self.shift: dict[tuple[str, str], int] = {}
-        self.ends: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        self.tail, self.head = min(TAIL, words), min(HEAD, words)
+        self.ends: dict[tuple[str, ...], dict[tuple[str, ...], list[tuple[int, int]]]] = {}
         for ident, text in items:
             w = words_of(text)
             if len(w) < words:
@@ -44,7 +49,9 @@ class Patterns:
                 block = (w[e - 1], w[e])
                 if e >= words - 1:
                     self.shift[block] = 0
-                    self.ends.setdefault(block, []).append((n, e))
+                    first = e - words + 1
+                    bucket = self.ends.setdefault(tuple(w[e - self.tail + 1 : e + 1]), {})
+                    bucket.setdefault(tuple(w[first : first + self.head]), []).append((n, e))
                 else:
                     self.shift[block] = min(self.shift.get(block, words), words - 1 - e)
 
@@ -59,11 +66,13 @@ class Patterns:
             if s:
                 e += s
                 continue
-            window = w[e - m + 1 : e + 1]
-            for k, end in self.ends[block]:
-                ident, own = self.items[k]
-                if ident not in found and own[end - m + 1 : end + 1] == window:
-                    found.add(ident)
+            bucket = self.ends.get(tuple(w[e - self.tail + 1 : e + 1]))
+            if bucket:
+                window = w[e - m + 1 : e + 1]
+                for k, end in bucket.get(tuple(window[: self.head]), ()):
+                    ident, own = self.items[k]
+                    if ident not in found and own[end - m + 1 : end + 1] == window:
+                        found.add(ident)
             e += 1
         return found
 

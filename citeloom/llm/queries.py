@@ -14,7 +14,7 @@ from citeloom.llm.mojibake import garbled_cells
 from citeloom.llm.packing import pack_texts, packing_summary
 from citeloom.llm.pairs import cooccurrence
 from citeloom.llm.residue import residue_documents, without_residue
-from citeloom.llm.term_counts import TermStore, signed_deltas
+from citeloom.llm.term_counts import TermStore, changed_records, signed_deltas
 from citeloom.llm.terms import record_terms
 from citeloom.session import materialize, scratch_path, table
 
@@ -53,6 +53,38 @@ def p1_keywords_plus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.counts()
 
 
+def p1_keywords_plus_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over ``keywords_plus`` kept up to date: all rows first, then, in a store opened anew,
+    a batch that changes a term and deletes the later rows of each DOI."""
+    raw = table(spark, sf_dir, "papers")
+    key = F.when(~F.trim("doi").isin("", "nan"), F.lower(F.trim("doi")))
+    before = materialize(raw.select("paper_id", key.alias("k"), "keywords_plus"), "before")
+    first = before.filter("k is not null").groupBy("k").agg(F.min("paper_id").alias("first"))
+    after = before.join(first, "k", "left").filter("first is null or paper_id = first").select("paper_id", F.replace("keywords_plus", F.lit("SCIENTOMETRICS"), F.lit("BIBLIOMETRICS")).alias("keywords_plus"))
+    after = materialize(after, "after")
+
+    def terms(rows: DataFrame) -> DataFrame:
+        cells = rows.filter(~is_blank(F.col("keywords_plus"))).select("paper_id", F.explode(split_terms(F.col("keywords_plus"))).alias("item"))
+        return cells.groupBy("paper_id", term_key(F.col("item")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+    path = scratch_path(spark, "term-store")
+    TermStore(spark, path).apply(signed_deltas(terms(before)), before.count())
+    new, old = changed_records(before.drop("k"), after, "paper_id", ["keywords_plus"])
+    store = TermStore(spark, path)
+    store.apply(signed_deltas(terms(new), terms(old)), after.count() - before.count())
+    return store.counts()
+
+
+P1_REVISED_SQL = r"""
+WITH b AS (SELECT paper_id, keywords_plus, CASE WHEN trim(doi) NOT IN ('', 'nan') THEN lower(trim(doi)) END AS k FROM papers),
+a AS (SELECT paper_id, replace(keywords_plus, 'SCIENTOMETRICS', 'BIBLIOMETRICS') AS keywords_plus FROM b
+      WHERE k IS NULL OR paper_id = (SELECT min(c.paper_id) FROM b c WHERE c.k = b.k))
+SELECT term, count(*) AS occurrences, count(DISTINCT paper_id) AS records
+FROM (SELECT paper_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS term
+      FROM (SELECT paper_id, unnest(string_split(keywords_plus, ';')) AS x FROM a
+            WHERE keywords_plus IS NOT NULL AND trim(keywords_plus) NOT IN ('', 'nan')))
+WHERE term <> '' GROUP BY term
+"""
 P1_PLUS_SQL = r"""
 SELECT term, count(*) AS occurrences, count(DISTINCT paper_id) AS records
 FROM (SELECT paper_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS term
@@ -170,7 +202,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    p1_found, p1_term_counts, p1_keywords_plus_counts, p3_found, p3_keywords_plus_pairs, p4_found, p4_unmatched, p5_found, p5_collapsed,
+    p1_found, p1_term_counts, p1_keywords_plus_counts, p1_keywords_plus_revised, p3_found, p3_keywords_plus_pairs, p4_found, p4_unmatched, p5_found, p5_collapsed,
     p6_found, p6_fused, p7_found, p7_repaired, p8_packing, p8_summary, p9_found, p9_report, p10_found, p10_clean,
 ]
 
@@ -180,4 +212,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_keywords_plus_counts": P1_PLUS_SQL, "p3_keywords_plus_pairs": P3_PLUS_SQL}
+    return {"p1_keywords_plus_counts": P1_PLUS_SQL, "p1_keywords_plus_revised": P1_REVISED_SQL, "p3_keywords_plus_pairs": P3_PLUS_SQL}

@@ -71,6 +71,21 @@ def test_changed_records(spark):
     assert {r.id for r in new.collect()} == {2, 4} and {r.id for r in old.collect()} == {2}
 
 
+def test_store_layers_and_versions(spark, tmp_path):
+    """Batches add layers, full buckets are merged, unused versions and manifests go, a new handle sees all."""
+    from citeloom.llm.term_counts import MOST_LAYERS
+
+    path = tmp_path / "layers"
+    for i in range(MOST_LAYERS + 3):
+        store = TermStore(spark, f"file://{path}", buckets=1)
+        store.apply(signed_deltas(term_rows(spark, {i: ["a", f"t{i}"]}), term_rows(spark, {i - 1: ["a", f"t{i - 1}"]}) if i else None), 1 if i == 0 else 0)
+    got = {r.term: r.records for r in TermStore(spark, f"file://{path}").counts().collect()}
+    assert got == {"a": 1, f"t{MOST_LAYERS + 2}": 1}
+    kept = {p.name for p in path.iterdir() if p.name.startswith("v")}
+    assert kept == {f"v{v}" for vs in store.live.values() for v in vs} and len(kept) <= MOST_LAYERS
+    assert len(list((path / "manifest").glob("v*"))) == 1
+
+
 def test_empty_store(spark, tmp_path):
     store = TermStore(spark, f"file://{tmp_path}/empty")
     store.apply(signed_deltas(term_rows(spark, {1: "a"}).limit(0)), 0)
@@ -93,9 +108,9 @@ def basket_rows(spark, baskets):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([*"abcdefgh", None]), max_size=8), min_size=1, max_size=30), st.integers(1, 3), st.sampled_from([0.0, 1.0, 1.5]))
-def test_pairs_against_brute_force(spark, baskets, k, lift):
-    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in cooccurrence(basket_rows(spark, baskets), "rec", "item", k, lift, block=7).collect()}
+@given(st.lists(st.lists(st.sampled_from([*"abcdefgh", None]), max_size=8), min_size=1, max_size=30), st.integers(1, 3), st.sampled_from([0.0, 1.0, 1.5]), st.sampled_from([1, 3, 256]))
+def test_pairs_against_brute_force(spark, baskets, k, lift, wide):
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in cooccurrence(basket_rows(spark, baskets), "rec", "item", k, lift, block=7, wide=wide).collect()}
     assert got == brute_pairs(baskets, k, lift)
 
 
@@ -125,6 +140,8 @@ def test_mapping(spark):
     assert map_to_canonical(df.limit(0), refs, "address_id", "affiliations", "inst_id", "inst_name", "city", "acronym").count() == 0
     none = map_to_canonical(df, refs.limit(0), "address_id", "affiliations", "inst_id", "inst_name", "city", "acronym").collect()
     assert {r.inst_id for r in none} == {0}
+    bare = {r.address_id: r.inst_id for r in map_to_canonical(df, refs, "address_id", "affiliations", "inst_id", "inst_name", "city", "acronym", words_table={}, short_table={}).collect()}
+    assert bare[4] == 1 and bare[13] == 4 and bare[5] == 3 and bare[3] == 0  # without the tables abbreviations find nothing, misspellings still do
 
 
 def test_pigeonhole_finds_every_near_string(spark):
