@@ -70,7 +70,8 @@ def normalized_terms(terms: DataFrame, term: str = "term") -> DataFrame:
     from citeloom.session import spread
 
     once = spread(terms.select(F.col(term).alias("_raw")).filter("_raw is not null").distinct())
-    named = once.withColumn("_name", normalize_keyword(F.col("_raw"))).filter("_name is not null")
+    # exploding keeps the long expression from being computed again for the filter
+    named = once.select("_raw", F.explode(F.array(normalize_keyword(F.col("_raw")))).alias("_name")).filter("_name is not null")
     joined = terms.join(named, terms[term] == F.col("_raw"))
     return joined.withColumn(term, F.col("_name")).drop("_raw", "_name")
 
@@ -124,13 +125,17 @@ def automatic_terms(df: DataFrame, id_col: str, title: str = "title", abstract:
 def governed(terms: DataFrame, id_col: str, blocked: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Apply an alias table (alias, term) and a table of blocked terms (term) to (id, pos, term).
 
-    Aliases are replaced first, then blocked terms dropped, then repeats within a record.
+    Aliases are replaced first, then blocked terms dropped, then repeats within a record. Each
+    writing is normalised, replaced and judged once and joined back.
     """
-    t = terms.withColumn("term", normalize_keyword(F.col("term"))).filter("term is not null")
+    once = terms.select(F.col("term").alias("_raw")).filter("_raw is not null").distinct()
+    named = once.select("_raw", F.explode(F.array(normalize_keyword(F.col("_raw")))).alias("_name")).filter("_name is not null")
     if aliases is not None:
-        a = aliases.select(normalize_keyword(F.col("alias")).alias("_alias"), normalize_keyword(F.col("term")).alias("_new")).dropDuplicates(["_alias"])
-        t = t.join(a, t.term == a._alias, "left").withColumn("term", F.coalesce("_new", "term")).drop("_alias", "_new")
+        pair = F.explode(F.array(F.struct(normalize_keyword(F.col("alias")).alias("_alias"), normalize_keyword(F.col("term")).alias("_new")))).alias("x")
+        a = aliases.select(pair).select("x.*").dropDuplicates(["_alias"])
+        named = named.join(a, named["_name"] == a["_alias"], "left").select("_raw", F.coalesce("_new", "_name").alias("_name"))
     if blocked is not None:
-        b = blocked.select(F.coalesce(normalize_keyword(F.col("term")), squash_ws(F.col("term"))).alias("term")).distinct()
-        t = t.join(b, "term", "left_anti")
+        b = blocked.select(F.explode(F.array(F.coalesce(normalize_keyword(F.col("term")), squash_ws(F.col("term"))))).alias("_name")).distinct()
+        named = named.join(b, "_name", "left_anti")
+    t = terms.join(named, terms["term"] == F.col("_raw")).select(id_col, "pos", F.col("_name").alias("term"))
     return t.groupBy(id_col, "term").agg(F.min("pos").alias("pos")).select(id_col, "pos", "term")

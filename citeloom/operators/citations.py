@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions import references as R
-from citeloom.session import spread
+from citeloom.operators.networks import HEAVY, signature_overlaps, signatures
+from citeloom.session import materialize, spread
 
 
 def reference_frequency(refs: DataFrame, label: str = "ref") -> DataFrame:
@@ -60,23 +61,42 @@ def internal_citations(papers: DataFrame, refs: DataFrame, raw: str = "raw", **c
     return refs.select(F.col("rec_id").alias("src"), F.col(raw).alias("raw")).join(found, "raw").select("src", "dst").distinct()
 
 
-def disruption(papers: DataFrame, edges: DataFrame) -> DataFrame:
+def sharers(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(f, n): papers other than f that share a reference with f.
+
+    ``edges`` are distinct (src, dst). Works cited by at most ``heavy`` papers pair their citers;
+    the other works a paper cites form its signature, papers with overlapping signatures are
+    counted per signature, and paired citers whose signatures overlap are not counted twice.
+    """
+    light, sigs = signatures(edges, "src", "dst", heavy)
+    sigs = materialize(sigs, "signatures")
+    kinds = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("sig", "sb")
+    union = signature_overlaps(sigs, "src").join(kinds, "sb").groupBy("sa").agg((F.sum("m") - 1).alias("n"))
+    by_sig = sigs.select(F.col("src").alias("f"), F.col("sig").alias("sa")).join(union, "sa").select("f", "n")
+    pairs = light.select(F.col("src").alias("f"), "dst").join(light.select(F.col("src").alias("o"), "dst"), "dst").filter("f <> o").select("f", "o").distinct()
+    sf, so = sigs.select(F.col("src").alias("f"), F.col("sig").alias("sf")), sigs.select(F.col("src").alias("o"), F.col("sig").alias("so"))
+    once = pairs.join(sf, "f", "left").join(so, "o", "left").filter(~F.coalesce(F.arrays_overlap("sf", "so"), F.lit(False)))
+    return once.groupBy("f").agg(F.count(F.lit(1)).alias("n")).unionByName(by_sig).groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def disruption(papers: DataFrame, edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(rec_id, nd, nc, na, references, citers, support, di) for every paper.
 
     With C the citers of a paper and B the papers that share a reference with it (itself
-    included), nc = |C and B|, nd = |C without B|, na = |B without C and the paper|. The counts
-    come from one aggregation over the distinct (paper, other) rows of both relations.
+    included), nc = |C and B|, nd = |C without B|, na = |B without C and the paper|. nc and nd
+    come from the citation edges, each with the reference lists of its two papers; na from the
+    number of sharers, so a work cited by N papers never makes N squared rows beyond ``heavy``.
     """
-    e = edges.select("src", "dst").distinct()
-    sharers = e.select(F.col("src").alias("f"), "dst").join(e.select(F.col("src").alias("o"), "dst"), "dst").select("f", "o").distinct().withColumn("b", F.lit(1)).withColumn("c", F.lit(0))
-    citers = e.select(F.col("dst").alias("f"), F.col("src").alias("o")).withColumn("b", F.lit(0)).withColumn("c", F.lit(1))
-    rel = sharers.unionByName(citers).groupBy("f", "o").agg(F.max("b").alias("b"), F.max("c").alias("c"))
-    per = rel.groupBy("f").agg(
-        F.count_if((F.col("c") == 1) & (F.col("b") == 0)).alias("nd"), F.count_if((F.col("c") == 1) & (F.col("b") == 1)).alias("nc"),
-        F.count_if((F.col("c") == 0) & (F.col("o") != F.col("f"))).alias("na"), F.sum("c").alias("citers"),
+    e = materialize(edges.select("src", "dst").distinct(), "citations")
+    lists = e.groupBy("src").agg(F.collect_list("dst").alias("r"))  # references of one paper
+    ends = e.join(lists.withColumnRenamed("r", "rs"), "src").join(lists.select(F.col("src").alias("dst"), F.col("r").alias("rd")), "dst", "left")
+    shared = F.coalesce(F.arrays_overlap("rs", "rd"), F.lit(False))
+    per = ends.groupBy(F.col("dst").alias("f")).agg(
+        F.count_if(~shared).alias("nd"), F.count_if(shared).alias("nc"), F.count_if(shared & (F.col("src") != F.col("dst"))).alias("_both"), F.count(F.lit(1)).alias("citers")
     )
-    out_refs = e.groupBy(F.col("src").alias("f")).agg(F.count(F.lit(1)).alias("references"))
-    full = papers.select(F.col("rec_id").alias("f")).join(per, "f", "left").join(out_refs, "f", "left").fillna(0)
+    out_refs = lists.select(F.col("src").alias("f"), F.size("r").cast("long").alias("references"))
+    full = papers.select(F.col("rec_id").alias("f")).join(per, "f", "left").join(sharers(e, heavy), "f", "left").join(out_refs, "f", "left").fillna(0)
+    full = full.withColumn("na", F.col("n") - F.col("_both"))
     support = F.col("nd") + F.col("nc") + F.col("na")
     di = F.when(support > 0, (F.col("nd") - F.col("nc")) / support).otherwise(0.0)
     return full.select(F.col("f").alias("rec_id"), "nd", "nc", "na", "references", "citers", support.alias("support"), F.round(di, 4).alias("di"))

@@ -14,6 +14,11 @@ def frequency(long: DataFrame, label: str, name: str = "n") -> DataFrame:
     return long.groupBy(label).agg(F.count(F.lit(1)).alias(name))
 
 
+def label_year_counts(df: DataFrame, label: str, year: str = "year") -> DataFrame:
+    """(label, year, n) over rows that have both."""
+    return df.filter(F.col(label).isNotNull() & F.col(year).isNotNull()).groupBy(label, year).agg(F.count(F.lit(1)).alias("n"))
+
+
 def single_value_frequency(df: DataFrame, column: str) -> DataFrame:
     return frequency(df.filter(~is_blank(F.col(column))).select(trim_ws(F.col(column)).alias(column)), column)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.operators.frequency import frequency, top_k
+from citeloom.session import materialize
 
 
 def record_pairs(long: DataFrame, label: str, key: str = "rec_id", distinct: bool = True) -> DataFrame:
@@ -67,10 +68,14 @@ def collaboration(long: DataFrame, label: str, key: str = "rec_id", top_n: int =
     else:
         freq = frequency(base, label)
     nodes = top_k(freq, label, top_n)
-    edges = pair_counts(base, label, key, fractional=fractional)
-    if max_pairs:
-        edges = edges.orderBy(F.desc("weight"), "a", "b").limit(max_pairs)
-    return nodes, within(edges, nodes, label).filter(F.col("weight") >= min_links)
+    if max_pairs:  # the strongest pairs of all, then those among the nodes
+        edges = pair_counts(base, label, key, fractional=fractional).orderBy(F.desc("weight"), "a", "b").limit(max_pairs)
+        return nodes, within(edges, nodes, label).filter(F.col("weight") >= min_links)
+    top = base.join(F.broadcast(nodes.select(label)), label, "left_semi")  # a top list
+    if not fractional:
+        return nodes, pair_counts(top, label, key, min_weight=min_links)
+    pairs = record_pairs(top, label, key).drop("n_pairs").join(sizes.select(key, (F.col("k") * (F.col("k") - 1) / 2).alias("n_pairs")), key)
+    return nodes, pairs.groupBy("a", "b").agg(F.sum(1 / F.col("n_pairs")).alias("weight")).filter(F.col("weight") >= min_links)
 
 
 def coauthorship(authors: DataFrame, top_n: int = 50, min_papers: int = 2, min_links: float = 1, fractional: bool = False, label: str = "author", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
@@ -125,23 +130,45 @@ def first_seen(refs: DataFrame, nodes: DataFrame, label: str = "ref", key: str =
     return nodes.join(seen, label, "left")
 
 
-def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min_shared: int = 2) -> DataFrame:
+#: References of more papers than this are taken together as signatures and never paired one by one.
+HEAVY = 1000
+
+
+def signatures(base: DataFrame, key: str, label: str, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """(light, sigs) of distinct (key, label) rows: rows of labels with at most ``heavy`` keys, and
+    (key, sig), the sorted array of the other labels of each key that has any."""
+    df = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    many = df.filter(F.col("_n") > heavy).select(label)
+    few = df.filter(F.col("_n").between(2, heavy)).select(label)
+    sigs = base.join(many, label, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(label)).alias("sig"))  # labels of one record
+    return base.join(few, label, "left_semi"), sigs
+
+
+def signature_overlaps(sigs: DataFrame, key: str) -> DataFrame:
+    """(sa, sb, shared): ordered pairs of different or equal signatures that share a label."""
+    kinds = sigs.select("sig").distinct()
+    one = kinds.select(F.col("sig").alias("sa"), F.explode("sig").alias("r"))
+    return one.join(one.select(F.col("sa").alias("sb"), "r"), "r").groupBy("sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min_shared: int = 2, heavy: int = HEAVY) -> DataFrame:
     """(a, b, weight): papers that share at least ``min_shared`` references.
 
-    Prefix filter: with references ordered from rare to common, two papers that share t
-    references also share one outside the t - 1 most common of each, so the commonest
-    references never generate candidates; shared counts are then taken exactly.
+    References of at most ``heavy`` papers make candidate pairs, counted before they are
+    shuffled. The others of a paper form its signature: what two papers share of them is the
+    overlap of their signatures, and pairs that share nothing else arise only from signatures
+    that overlap enough, so each of them is a row of the result. A work that half of the papers
+    cite thus costs one array entry per paper.
     """
-    base = refs.filter(F.col(label).isNotNull()).select(key, label).distinct()
-    df = frequency(base, label)
-    rows = base.join(df, label).filter("n > 1").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", F.col(label).alias("r")))).alias("x"))
-    rows = rows.filter(F.size("x") >= min_shared).select(key, F.transform("x", lambda e: e["r"]).alias("x"))
-    head = rows.select(key, F.explode(F.slice("x", F.lit(1), F.size("x") - (min_shared - 1))).alias("r"))
-    left, right = head.select(F.col(key).alias("a"), "r"), head.select(F.col(key).alias("b"), "r")
-    cand = left.join(right, "r").filter("a < b").select("a", "b").distinct()
-    xa, xb = rows.select(F.col(key).alias("a"), F.col("x").alias("xa")), rows.select(F.col(key).alias("b"), F.col("x").alias("xb"))
-    out = cand.join(xa, "a").join(xb, "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).cast("long").alias("weight"))
-    return out.filter(F.col("weight") >= min_shared)
+    base = materialize(refs.filter(F.col(label).isNotNull()).select(key, label).distinct(), "coupled")
+    light, sigs = signatures(base, key, label, heavy)
+    sigs = materialize(sigs, "signatures")
+    cand = light.select(F.col(key).alias("a"), label).join(light.select(F.col(key).alias("b"), label), label).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    sa, sb = sigs.select(F.col(key).alias("a"), F.col("sig").alias("sa")), sigs.select(F.col(key).alias("b"), F.col("sig").alias("sb"))
+    both = F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0))
+    near = cand.join(sa, "a", "left").join(sb, "b", "left").select("a", "b", (F.col("n") + F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), both).otherwise(0)).alias("weight"))
+    only = signature_overlaps(sigs, key).filter(F.col("shared") >= min_shared).join(sa, "sa").join(sb, "sb").filter("a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
+    return near.filter(F.col("weight") >= min_shared).unionByName(only.select("a", "b", F.col("shared").alias("weight")))
 
 
 def coupling_network(refs: DataFrame, top_n: int = 30, min_shared: int = 2, label: str = "ref", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
@@ -159,7 +186,7 @@ def jaccard(keywords: DataFrame, top_n: int = 15, min_weight: int = 2, label: st
     a = r.select(F.col(label).alias("row"), F.col("n").alias("na"), F.col("i").alias("ia"))
     b = r.select(F.col(label).alias("col"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     cells = a.join(F.broadcast(b), F.col("ib") <= F.col("ia"))
-    pairs = within(pair_counts(keywords, label, min_weight=min_weight), nodes, label)
+    pairs = pair_counts(keywords.join(nodes.select(label), label, "left_semi"), label, min_weight=min_weight)
     joined = cells.join(F.broadcast(pairs), (F.least("row", "col") == F.col("a")) & (F.greatest("row", "col") == F.col("b")), "left")
     w = F.coalesce("weight", F.lit(0))
     value = F.when(F.col("ia") == F.col("ib"), 1.0).otherwise(F.round(w / (F.col("na") + F.col("nb") - w), 4))

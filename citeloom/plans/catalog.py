@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.functions import affiliations as A
 from citeloom.functions import geo as X
 from citeloom.functions import keywords as K
 from citeloom.functions import references as R
@@ -76,7 +75,7 @@ def keyword_frequency(spark, d, keywords=V.keywords):
 
 @register(V.PAPERS, sql="SELECT journal, year, count(*) AS n FROM papers_v WHERE journal IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2")
 def journal_year_counts(spark, d):
-    return V.papers(spark, d).filter("journal is not null and year is not null").groupBy("journal", "year").agg(F.count(F.lit(1)).alias("n"))
+    return Q.label_year_counts(V.papers(spark, d), "journal")
 
 
 RANKED = """, f AS (SELECT {c} AS {l}, count(*) AS n FROM {v} WHERE {c} IS NOT NULL GROUP BY 1)
@@ -94,7 +93,8 @@ def _ranked_query(name: str, view: str, cte: str, label: str, k: int, rows: Call
 
 _ranked_query("top_journals", "papers_v", V.PAPERS, "journal", 10, V.papers)
 _ranked_query("top_countries", "countries_v", V.COUNTRIES, "country", 10, V.countries)
-_ranked_query("top_institutions", "authors_d", V.AUTHORS + ", authors_d AS (SELECT DISTINCT * FROM authors_v)", "author", 10, lambda s, d: V.authors(s, d).distinct())
+_ranked_query("top_institutions", "inst_v", V.INSTITUTIONS, "institution", 10, V.institutions)
+_ranked_query("top_scored_institutions", "scored_v", V.SCORED, "institution", 25, V.scored_institutions)
 _ranked_query("language_freq", "papers_v", V.PAPERS, "language", 50, V.papers)
 _ranked_query("doctype_freq", "papers_v", V.PAPERS, "doctype", 50, V.papers)
 
@@ -203,11 +203,11 @@ def doctype_by_year(spark, d):
     return Q.stacked_by_year(p, "doctype", 2)
 
 
-@register(V.ORDERS, V.AUTHORS, sql=""", d AS (SELECT author, year FROM authors_v JOIN orders_v USING (rec_id)), t AS (SELECT author, count(*) AS total FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
-y AS (SELECT DISTINCT year FROM orders_v)
+@register(V.PAPERS, V.AUTHORS, sql=""", d AS (SELECT author, year FROM authors_v JOIN papers_v USING (rec_id) WHERE year IS NOT NULL), t AS (SELECT author, count(*) AS total FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+y AS (SELECT DISTINCT year FROM papers_v WHERE year IS NOT NULL)
 SELECT t.author, y.year, count(d.author) AS papers, any_value(total) AS total FROM t CROSS JOIN y LEFT JOIN d ON d.author = t.author AND d.year = y.year GROUP BY 1, 2""".lstrip())
 def author_production(spark, d):
-    return Q.production_over_time(V.authors(spark, d), V.orders(spark, d))
+    return Q.production_over_time(V.authors(spark, d), V.papers(spark, d).filter("year is not null"))
 
 
 # --- pairs and networks ---
@@ -252,14 +252,14 @@ def jaccard_matrix(spark, d, keywords=V.keywords):
     return N.jaccard(keywords(spark, d))
 
 
-@register(V.ORDERS, V.AUTHORS, V.COUNTRIES, sql=""", ak AS (SELECT rec_id, author, country FROM authors_v JOIN countries_v USING (rec_id)),
-ta AS (SELECT author FROM authors_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), tk AS (SELECT country FROM ak GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15),
-tj AS (SELECT journal FROM orders_v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
-SELECT 'author-keyword' AS side, author AS source, country AS target, count(*) AS n FROM ak WHERE author IN (SELECT author FROM ta) AND country IN (SELECT country FROM tk) GROUP BY 1, 2, 3
-UNION ALL SELECT 'keyword-journal', country, journal, count(*) FROM countries_v JOIN orders_v USING (rec_id) WHERE country IN (SELECT country FROM tk) AND journal IN (SELECT journal FROM tj) GROUP BY 1, 2, 3""".lstrip())
+@register(V.PAPERS, V.AUTHORS, V.KEYWORDS, sql=""", p AS (SELECT rec_id, journal FROM papers_v WHERE journal IS NOT NULL), au AS (SELECT rec_id, author FROM authors_v JOIN p USING (rec_id)),
+kw AS (SELECT rec_id, keyword, journal FROM keywords_v JOIN p USING (rec_id)), ak AS (SELECT rec_id, author, keyword FROM au JOIN kw USING (rec_id)),
+ta AS (SELECT author FROM au GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), tk AS (SELECT keyword FROM ak GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15),
+tj AS (SELECT journal FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
+SELECT 'author-keyword' AS side, author AS source, keyword AS target, count(*) AS n FROM ak WHERE author IN (SELECT author FROM ta) AND keyword IN (SELECT keyword FROM tk) GROUP BY 1, 2, 3
+UNION ALL SELECT 'keyword-journal', keyword, journal, count(*) FROM kw WHERE keyword IN (SELECT keyword FROM tk) AND journal IN (SELECT journal FROM tj) GROUP BY 1, 2, 3""".lstrip())
 def three_field_links(spark, d):
-    kw = V.countries(spark, d).withColumnRenamed("country", "keyword")
-    return N.three_field_links(V.orders(spark, d), V.authors(spark, d), kw)
+    return N.three_field_links(V.papers(spark, d), V.authors(spark, d), V.keywords(spark, d))
 
 
 AUTHOR_PAIRS = """r AS (SELECT rec_id, author, row_number() OVER (PARTITION BY rec_id ORDER BY author) AS p, count(*) OVER (PARTITION BY rec_id) AS k FROM authors_v),
@@ -292,27 +292,27 @@ def country_collab(spark, d):
     return N.collaboration(V.countries(spark, d), "country")[1]
 
 
-@register(V.AUTHORS, "inst_v AS (SELECT DISTINCT * FROM authors_v)", PAIRS.format(l="author", v="inst_v"),
-          sql=COLLAB.format(l="author", v="inst_v", cap=", e AS (SELECT * FROM pairs ORDER BY weight DESC, a, b LIMIT 300)", e="e").lstrip())
+@register(V.SCORED, PAIRS.format(l="institution", v="scored_v"),
+          sql=COLLAB.format(l="institution", v="scored_v", cap=", e AS (SELECT * FROM pairs ORDER BY weight DESC, a, b LIMIT 300)", e="e").lstrip())
 def institution_collab(spark, d):
-    return N.collaboration(V.authors(spark, d), "author", max_pairs=300)[1]
+    return N.collaboration(V.scored_institutions(spark, d), "institution", max_pairs=300)[1]
 
 
 QUADRANT = """, k AS (SELECT rec_id, count(*) AS k FROM countries_v GROUP BY 1),
-a AS (SELECT country, sum(({w})::DOUBLE) AS p, sum(times_cited * {w}) AS c FROM countries_v JOIN orders_v USING (rec_id) JOIN k USING (rec_id) GROUP BY 1),
+a AS (SELECT country, sum(({w})::DOUBLE) AS p, sum(times_cited * {w}) AS c FROM countries_v JOIN papers_v USING (rec_id) JOIN k USING (rec_id) GROUP BY 1),
 f AS (SELECT country, round(p, 2) AS publications, round(c / p, 2) AS avg_citations, round(c, 2) AS total_citations FROM a ORDER BY 2 DESC, 4 DESC, 1 LIMIT 10),
 m AS (SELECT quantile_cont(publications, 0.5) AS mp, quantile_cont(avg_citations, 0.5) AS mc FROM f)
 SELECT f.*, CASE WHEN publications >= mp AND avg_citations >= mc THEN 'High output & high impact' WHEN publications >= mp THEN 'High-output' WHEN avg_citations >= mc THEN 'High-quality' ELSE 'Low output & low impact' END AS quadrant FROM f, m"""
 
 
-@register(V.ORDERS, V.COUNTRIES, sql=QUADRANT.format(w="1.0").lstrip())
+@register(V.PAPERS, V.COUNTRIES, sql=QUADRANT.format(w="1.0").lstrip())
 def country_quadrant_full(spark, d):
-    return N.impact_quadrant(V.countries(spark, d), V.orders(spark, d))
+    return N.impact_quadrant(V.countries(spark, d), V.papers(spark, d))
 
 
-@register(V.ORDERS, V.COUNTRIES, sql=QUADRANT.format(w="(1.0 / k)").lstrip())
+@register(V.PAPERS, V.COUNTRIES, sql=QUADRANT.format(w="(1.0 / k)").lstrip())
 def country_quadrant_fractional(spark, d):
-    return N.impact_quadrant(V.countries(spark, d), V.orders(spark, d), fractional=True)
+    return N.impact_quadrant(V.countries(spark, d), V.papers(spark, d), fractional=True)
 
 
 # --- references and citations ---
@@ -445,10 +445,10 @@ def keyword_timeline(spark, d, keywords=V.keywords):
     return T.timeline(keywords(spark, d), V.papers(spark, d))
 
 
-SELECTED = ["BIBLIOMETRICS", "CITATION ANALYSIS", "MAPPING", "SCIENCE"]
+SELECTED = ["Bibliometrics", "Citation Analysis", "Mapping", "Science"]
 
 
-@register(V.PAPERS, V.KEYWORDS, sql=""", s AS (SELECT unnest(['BIBLIOMETRICS', 'CITATION ANALYSIS', 'MAPPING', 'SCIENCE']) AS keyword),
+@register(V.PAPERS, V.KEYWORDS, sql=""", s AS (SELECT unnest(['Bibliometrics', 'Citation Analysis', 'Mapping', 'Science']) AS keyword),
 r AS (SELECT year, keyword, count(*) AS n FROM keywords_v JOIN papers_v USING (rec_id) WHERE year IS NOT NULL AND keyword IN (SELECT keyword FROM s) GROUP BY 1, 2),
 t AS (SELECT year, CAST(sum(n) AS BIGINT) AS total FROM r GROUP BY 1)
 SELECT t.year, s.keyword, coalesce(n, 0) AS n, total, round(coalesce(n, 0) * 100.0 / total, 2) AS share FROM t CROSS JOIN s LEFT JOIN r ON r.year = t.year AND r.keyword = s.keyword""".lstrip())
@@ -458,7 +458,7 @@ def selected_keyword_share(spark, d):
 
 @register()
 def selected_keyword_share_all(spark, d):
-    return T.selected_share(V.all_keywords(spark, d), V.papers(spark, d), [s.title() for s in SELECTED])
+    return T.selected_share(V.all_keywords(spark, d), V.papers(spark, d), SELECTED)
 
 
 SHARES = """, cand AS (SELECT {l} FROM (SELECT {l}, count(*) AS n FROM {v} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k}) WHERE n >= 3), pub AS (SELECT year, count(*) AS publications FROM {p} WHERE year IS NOT NULL GROUP BY 1),
@@ -471,9 +471,9 @@ KW_SHARES = SHARES.format(l="keyword", v="keywords_v", p="papers_v", k="{k}", sh
 s AS (SELECT keyword, max(n) FILTER (year = last) AS latest_count, max(n) FILTER (year = prev) AS previous_count, max(share) FILTER (year = last) AS ls, max(share) FILTER (year = prev) AS ps,
   max(publications) FILTER (year = prev) AS pp, CASE WHEN count(DISTINCT share) > 1 THEN regr_slope(share, year) ELSE 0 END AS slope, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS active_years, any_value(last) AS last, any_value(prev) AS prev FROM y, w GROUP BY keyword)
 SELECT keyword, last AS latest_year, prev AS previous_year, latest_count, previous_count, round(ls, 3) AS latest_share, round(ps, 3) AS previous_share, round((ls - ps) / greatest(ps, 100.0 / greatest(pp, 1)) * 100, 2) AS growth,
-  round(ls - ps, 3) AS net_change, round(slope, 4) AS trend_slope, total, active_years FROM s WHERE latest_count >= 2 AND ps IS NOT NULL""")
+  round(ls - ps, 3) AS net_change, round(slope, 4) AS trend_slope, total, active_years FROM s WHERE latest_count >= 0 AND ps IS NOT NULL""")
 def keyword_growth(spark, d, keywords=V.keywords):
-    return T.keyword_growth(keywords(spark, d), V.papers(spark, d))
+    return T.keyword_growth(keywords(spark, d), V.papers(spark, d), min_latest=0)  # the last observed year has few papers
 
 
 @register(V.PAPERS, sql=""", c AS (SELECT year, count(*) AS n FROM papers_v WHERE year IS NOT NULL GROUP BY 1), r AS (SELECT * FROM c ORDER BY year DESC LIMIT 8), f AS (SELECT regr_slope(n, year) AS s, regr_intercept(n, year) AS i, max(year) AS last FROM r)
@@ -507,14 +507,14 @@ def entity_forecast_series(spark, d):
 WINDOWS = """, rk AS (SELECT year, row_number() OVER (ORDER BY year DESC) AS r FROM pub)"""
 
 
-@register(V.ORDERS, V.COUNTRIES, sql=SHARES.format(l="country", v="countries_v", p="orders_v", k=36, share="coalesce(n, 0) * 100.0 / publications").lstrip() + WINDOWS + """,
+@register(V.PAPERS, V.COUNTRIES, sql=SHARES.format(l="country", v="countries_v", p="papers_v", k=36, share="coalesce(n, 0) * 100.0 / publications").lstrip() + WINDOWS + """,
 s AS (SELECT country, CAST(sum(n) AS BIGINT) AS total, avg(share) FILTER (r <= 2) AS r, avg(share) FILTER (r IN (3, 4)) AS b, max(n) FILTER (r = 1) AS latest_count, count(*) FILTER (n > 0) AS active_years FROM y JOIN rk USING (year) GROUP BY 1),
 o AS (SELECT country, total, round(r, 3) AS recent_share, round(b, 3) AS baseline_share, round(r - b, 3) AS share_shift, round((r - b) / greatest(abs(b), 0.1) * 100, 2) AS momentum, latest_count, active_years FROM s),
 m AS (SELECT quantile_cont(recent_share, 0.5) AS mid FROM o)
 SELECT o.*, CASE WHEN recent_share >= mid AND share_shift >= 0 THEN 'Rising Leaders' WHEN share_shift >= 0 THEN 'Emerging Challengers' WHEN recent_share >= mid THEN 'Established but Slipping' ELSE 'Peripheral / Stable' END AS signal
 FROM o, m ORDER BY share_shift DESC, recent_share DESC, total DESC, country LIMIT 12""")
 def leadership_shift(spark, d):
-    return T.leadership_shift(V.countries(spark, d), V.orders(spark, d), "country")
+    return T.leadership_shift(V.countries(spark, d), V.papers(spark, d), "country")
 
 
 @register_keywords(V.PAPERS, V.KEYWORDS, sql=KW_SHARES.format(k=40).lstrip() + WINDOWS + """,
@@ -541,16 +541,18 @@ def split_terms_count(spark, d):
     return p.select("paper_id", F.explode(split_terms(F.col("keywords_plus"))).alias("x")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
-@register(sql=r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')))::INT AS n FROM documents")
+@register(sql=f"""SELECT doc_id, length({V.sql_squash("regexp_replace(text, '<[^>]+>', ' ', 'g')")})::INT AS n FROM documents""")
 def normalize_markup(spark, d):
-    t = F.regexp_replace(F.regexp_replace("text", "<[^>]+>", " "), "[ \t\n\r]+", " ")
-    return table(spark, d, "documents").select("doc_id", F.length(F.trim(t)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(K.strip_markup(F.col("text"))).alias("n"))
 
 
-@register(sql=r"""SELECT doc_id, len(regexp_extract_all(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b'))::INT AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM documents) WHERE regexp_matches(t, '\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b')""")
+@register(sql=f"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}\\p{{M}}]', ' ', 'g'), '[^\\x00-\\x7F]', 'x', 'g'),
+  '\\b[A-Z]{{2,}}(?:-[A-Z0-9]+)*\\b|\\b[A-Z]\\d+[A-Z0-9-]*\\b')) AS a FROM documents),
+k AS (SELECT a, {V.sql_keyword('a')} AS term FROM (SELECT DISTINCT a FROM f))
+SELECT doc_id, term, count(*) AS n FROM f JOIN k USING (a) WHERE term IS NOT NULL GROUP BY 1, 2""")
 def acronym_counts(spark, d):
-    found = F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), F.lit(r"\b[A-Z]{2,}(?:-[A-Z0-9]+)*\b|\b[A-Z]\d+[A-Z0-9-]*\b"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.size(found).alias("n")).filter("n > 0")
+    found = table(spark, d, "documents").select("doc_id", F.explode(K.acronyms(F.col("text"))).alias("term"))
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(sql=r"SELECT paper_id, upper(rtrim(regexp_extract(doi, '(?i)10\.\d{4,9}/[^\s\],;]+'), '].,;)')) AS doi_token FROM papers WHERE regexp_matches(doi, '(?i)10\.\d{4,9}/[^\s\],;]+')")
@@ -565,36 +567,41 @@ def reference_tokens(spark, d):
     return c.select("link_id", R.author_token(F.col("cited_key")).alias("author"), R.journal_token(F.col("cited_source")).alias("journal"))
 
 
-@register(sql=r"""SELECT min(paper_id) AS rec_id, count(*) AS copies FROM (SELECT paper_id, CASE WHEN trim(doi) NOT IN ('', 'nan') THEN lower(trim(doi)) END AS k FROM papers) GROUP BY coalesce('k' || k, 'r' || paper_id)""")
+@register(sql="""WITH p AS (SELECT paper_id, title, abstract, journal, coalesce('k' || CASE WHEN trim(doi) NOT IN ('', 'nan') THEN lower(trim(doi)) END, 'r' || paper_id) AS k FROM papers)
+SELECT min(paper_id) AS rec_id, arg_min(title, struct_pack(l := -length(title), i := paper_id)) FILTER (title IS NOT NULL) AS title,
+arg_min(abstract, struct_pack(l := -length(abstract), i := paper_id)) FILTER (abstract IS NOT NULL) AS abstract, arg_min(journal, struct_pack(l := -length(journal), i := paper_id)) FILTER (journal IS NOT NULL) AS journal FROM p GROUP BY k""")
 def exact_dedup(spark, d):
-    p = table(spark, d, "papers").select(F.col("paper_id").alias("rec_id"), D.doi_key(F.col("doi")).alias("k"))
-    keyed = p.withColumn("k", F.coalesce(F.concat(F.lit("k"), "k"), F.concat(F.lit("r"), F.col("rec_id").cast("string"))))
-    return keyed.groupBy("k").agg(F.min("rec_id").alias("rec_id"), F.count(F.lit(1)).alias("copies")).drop("k")
+    """Records merged by DOI: per column the longest value, the earliest row among equals."""
+    p = table(spark, d, "papers").select(F.col("paper_id").alias("rec_id"), "title", "abstract", "journal", "doi")
+    return D.merge_by_key(p, D.doi_key(F.col("doi")), "rec_id").drop("doi")
 
 
-@register(V.KEYWORDS, sql=""", t AS (SELECT DISTINCT rec_id, CASE WHEN keyword = 'SCIENTOMETRICS' THEN 'BIBLIOMETRICS' ELSE keyword END AS keyword FROM keywords_v)
-SELECT keyword, count(*) AS n FROM t WHERE keyword NOT IN ('SCIENCE') GROUP BY 1""".lstrip())
+BLOCK, ALIASES = ["Science", "citation  analysis"], [("scientometrics", "Bibliometrics"), ("CO2 uptake", "carbon uptake")]
+
+
+def _governed_frequency(k: DataFrame) -> DataFrame:
+    spark = k.sparkSession
+    blocked = spark.createDataFrame([(x,) for x in BLOCK], "term string")
+    aliases = spark.createDataFrame(ALIASES, "alias string, term string")
+    named = K.governed(k.select("rec_id", F.lit(0).alias("pos"), F.col("keyword").alias("term")), "rec_id", blocked, aliases)
+    return Q.frequency(named.select("rec_id", F.col("term").alias("keyword")), "keyword")
+
+
+@register(V.KEYWORDS, sql=""", t AS (SELECT DISTINCT rec_id, CASE keyword WHEN 'Scientometrics' THEN 'Bibliometrics' WHEN 'CO2 Uptake' THEN 'Carbon Uptake' ELSE keyword END AS keyword FROM keywords_v)
+SELECT keyword, count(*) AS n FROM t WHERE keyword NOT IN ('Science', 'Citation Analysis') GROUP BY 1""".lstrip())
 def governance_alias_block(spark, d):
-    return _governed_frequency(V.keywords(spark, d), "SCIENTOMETRICS", "BIBLIOMETRICS", "SCIENCE")
+    return _governed_frequency(V.keywords(spark, d))
 
 
 @register()
 def governance_alias_block_all(spark, d):
-    return _governed_frequency(V.all_keywords(spark, d), "Scientometrics", "Bibliometrics", "Science")
-
-
-def _governed_frequency(k: DataFrame, alias_of: str, name: str, block: str) -> DataFrame:
-    spark = k.sparkSession
-    alias = spark.createDataFrame([(alias_of, name)], "alias string, new string")
-    blocked = spark.createDataFrame([(block,)], "keyword string")
-    named = k.join(F.broadcast(alias), k.keyword == F.col("alias"), "left").select("rec_id", F.coalesce("new", "keyword").alias("keyword"))
-    return Q.frequency(named.join(F.broadcast(blocked), "keyword", "left_anti").distinct(), "keyword")
+    return _governed_frequency(V.all_keywords(spark, d))
 
 
 # --- algorithmic operators, checked by tests ---
 
 
-@register()
+@register(V.KEYWORDS, sql="SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1")
 def normalized_keywords(spark, d):
     p = table(spark, d, "papers")
     raw = p.select("paper_id", F.explode(F.concat(split_terms(F.col("author_keywords")), split_terms(F.col("keywords_plus")))).alias("keyword"))
@@ -608,22 +615,19 @@ def automatic_terms(spark, d):
     return K.automatic_terms(spread(p.select("paper_id", "title", "abstract")), "paper_id")
 
 
-@register()
+@register(sql=_ranked("countries_v", V.COUNTRIES, "country", "country", 50))
 def paper_countries(spark, d):
-    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.countries_of(F.col("affiliations"))).alias("country"))
-    return Q.ranked_table(Q.frequency(p, "country"), "country", 50)
+    return Q.ranked_table(Q.frequency(V.countries(spark, d), "country"), "country", 50)
 
 
-@register()
+@register(sql=_ranked("inst_v", V.INSTITUTIONS, "institution", "institution", 50))
 def paper_institutions(spark, d):
-    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.institutions_of(F.col("affiliations"))).alias("institution"))
-    return Q.ranked_table(Q.frequency(p, "institution"), "institution", 50)
+    return Q.ranked_table(Q.frequency(V.institutions(spark, d), "institution"), "institution", 50)
 
 
-@register()
+@register(sql=_ranked("scored_v", V.SCORED, "institution", "institution", 50))
 def scored_institutions(spark, d):
-    p = spread(table(spark, d, "papers").select("paper_id", "affiliations")).select("paper_id", F.explode(A.scored_institutions_of(F.col("affiliations"))).alias("institution"))
-    return Q.ranked_table(Q.frequency(p, "institution"), "institution", 50)
+    return Q.ranked_table(Q.frequency(V.scored_institutions(spark, d), "institution"), "institution", 50)
 
 
 @register()
