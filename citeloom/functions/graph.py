@@ -238,3 +238,23 @@ def bipartite_layout(left: Sequence[Hashable], right: Sequence[Hashable], links:
     order = sorted(right, key=lambda n: (mean[n], str(n)))
     place = lambda col, x: {n: (x, -(i + 0.5) / max(1, len(col))) for i, n in enumerate(col)}
     return place(list(left), -gap) | place(order, gap)
+
+
+def spread_points(xy: np.ndarray, least: float = 0.28, rounds: int = 80) -> np.ndarray:
+    """Points moved apart until no two are nearer than ``least``; all pairs of a round move at once."""
+    out = np.array(xy, dtype=float)
+    n = len(out)
+    for k in range(rounds):
+        delta = out[:, None, :] - out[None, :, :]
+        dist = np.sqrt((delta**2).sum(axis=2))
+        close = (dist < least) & ~np.eye(n, dtype=bool)
+        if not close.any():
+            break
+        same = close & (dist == 0)
+        if same.any():  # points in one place part along directions of their own
+            turn = 2 * np.pi * (np.arange(n) + 0.5 * k) / max(n, 1)
+            out[same.any(axis=1)] += 0.015 * np.stack([np.cos(turn), np.sin(turn)], axis=1)[same.any(axis=1)]
+            continue
+        push = np.where(close, (least - dist) / np.where(dist > 0, dist, 1.0), 0.0)
+        out += 0.5 * (push[:, :, None] * delta).sum(axis=1) / np.maximum(close.sum(axis=1), 1)[:, None] * 1.02
+    return out

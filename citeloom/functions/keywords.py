@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import lookups as L
-from citeloom.functions.text import is_blank, split_terms, squash_ws
+from citeloom.functions.text import alias_rules, is_blank, rule_entries, split_terms, squash_ws
 
 CODE = r"^[a-z]*\d+[a-z0-9-]*$"
 EDGE = r"""^[ ;,:.\[\](){}"']+|[ ;,:.\[\](){}"']+$"""
@@ -139,3 +139,23 @@ def governed(terms: DataFrame, id_col: str, blocked: DataFrame | None = None, al
         named = named.join(b, "_name", "left_anti")
     t = terms.join(named, terms["term"] == F.col("_raw")).select(id_col, "pos", F.col("_name").alias("term"))
     return t.groupBy(id_col, "term").agg(F.min("pos").alias("pos")).select(id_col, "pos", "term")
+
+
+def rule_tables(spark: SparkSession, blocked_text: str | None = None, alias_text: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocked, aliases) for ``governed`` from the two rule texts; a later alias of a term wins."""
+    blocked = spark.createDataFrame([(t,) for t in rule_entries(blocked_text)], "term string")
+    return blocked, spark.createDataFrame(list(dict(alias_rules(alias_text)).items()), "alias string, term string")
+
+
+def selected_keywords(spark: SparkSession, text: str | None) -> DataFrame:
+    """(pos, keyword): keywords typed between commas, semicolons and line breaks, normalised, each once."""
+    typed = spark.createDataFrame([(text or "",)], "t string").select(F.posexplode(F.split("t", "[,;\n]")).alias("pos", "k"))
+    named = typed.select("pos", F.explode(F.array(normalize_keyword(F.col("k")))).alias("keyword")).filter("keyword is not null")
+    return named.groupBy("keyword").agg(F.min("pos").alias("pos")).select("pos", "keyword")
+
+
+def pattern_terms(df: DataFrame, id_col: str, patterns: dict[str, str], title: str = "title", abstract: str = "abstract") -> DataFrame:
+    """(``id_col``, term): names whose regular expression occurs in title or abstract in lower case."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))))
+    hits = F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items()]) if patterns else F.array().cast("array<string>")
+    return df.select(id_col, F.explode(F.array_compact(hits)).alias("term"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions import references as R
+from citeloom.functions.text import trim_ws
 from citeloom.operators.networks import HEAVY, signature_overlaps, signatures
 from citeloom.session import materialize, spread
 
@@ -52,7 +53,7 @@ def internal_citations(papers: DataFrame, refs: DataFrame, raw: str = "raw", **c
     by_doi = keys.filter("doi is not null").groupBy("doi").agg(F.min("rec_id").alias("d_id"))
     # works are cited often, so each writing is parsed and resolved once
     once = spread(refs.select(F.col(raw).alias("raw")).filter("raw is not null").distinct())
-    p = F.filter(F.transform(F.split(F.upper("raw"), ","), F.trim), lambda x: x != "")
+    p = F.filter(F.transform(F.split(F.upper("raw"), ","), trim_ws), lambda x: x != "")
     r = once.withColumn("p", p).withColumn("y", F.transform(F.slice("p", 2, 4), R.year_token))
     r = r.withColumn("at", (F.array_position(F.transform("y", lambda x: x != ""), F.lit(True))).cast("int"))
     key = R.primary_key(R.author_token(F.get("p", F.lit(0))), F.get("y", F.col("at") - 1), R.journal_token(F.get("p", F.col("at") + 1)))

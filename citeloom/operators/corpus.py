@@ -41,9 +41,8 @@ def keyword_table(papers: DataFrame, source: str = "DE+ID", blocked: DataFrame |
     if (source or "").strip().upper() not in ("DE", "ID"):
         bare = base.filter(F.size("t") == 0).select("rec_id", "title", "abstract")
         own = own.unionByName(K.automatic_terms(bare, "rec_id", max_terms=max_auto_terms))
-        for k, (name, pattern) in enumerate((patterns or {}).items()):
-            text = F.lower(F.concat_ws(" ", "title", "abstract"))
-            own = own.unionByName(bare.filter(text.rlike(f"(?i){pattern}")).select("rec_id", F.lit(1000 + k).alias("pos"), F.lit(name).alias("term")))
+        if patterns:
+            own = own.unionByName(K.pattern_terms(bare, "rec_id", patterns).select("rec_id", F.lit(1000).alias("pos"), "term"))
     return K.governed(own, "rec_id", blocked, aliases).withColumnRenamed("term", "keyword")
 
 

@@ -27,6 +27,11 @@ def multi_value_frequency(df: DataFrame, column: str) -> DataFrame:
     return frequency(df.select(F.explode(split_terms(F.col(column))).alias(column)), column)
 
 
+def funding_frequency(df: DataFrame, column: str = "funding") -> DataFrame:
+    """(column, n) of the funders named in a cell, repeats counted."""
+    return multi_value_frequency(df, column)
+
+
 def fallback_frequency(df: DataFrame, first: str, second: str, label: str = "category") -> DataFrame:
     """Frequency of the first column, or of the second if the first yields nothing at all."""
     a, b = multi_value_frequency(df, first).withColumnRenamed(first, label), multi_value_frequency(df, second).withColumnRenamed(second, label)
@@ -94,14 +99,20 @@ def citation_histogram(papers: DataFrame, width: int = 10) -> DataFrame:
 
 
 def bradford_core(journals: DataFrame, label: str = "journal") -> DataFrame:
-    """Journals whose cumulative share is at most a third of all papers, else the first.
+    """(rank, label, n, cumulative): journals whose cumulative share is at most a third of all papers, else the first.
 
-    The running sum runs over one row per journal.
+    Journals are counted by size first, so the running sums are over one row per size; within a
+    size the place follows from the order of labels, numbered over all tasks.
     """
+    from citeloom.operators.records import numbered
+
     total = journals.agg(F.sum("n")).scalar()
-    w = W.orderBy(F.desc("n"), F.asc(label))
-    cum = journals.withColumn("cumulative", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    return cum.filter((F.col("cumulative") <= total / 3) | (F.col("rank") == 1)).select("rank", label, "n", "cumulative")
+    sizes = journals.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
+    larger = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)  # one row per size
+    before = sizes.select("n", F.coalesce(F.sum("_k").over(larger), F.lit(0)).alias("_r"), F.coalesce(F.sum(F.col("_k") * F.col("n")).over(larger), F.lit(0)).alias("_s"))
+    out = numbered(journals, "n", label).drop("_n").join(before, "n")
+    out = out.withColumn("rank", (F.col("_r") + F.col("_pos") + 1).cast("int")).withColumn("cumulative", F.col("_s") + (F.col("_pos") + 1) * F.col("n"))
+    return out.filter((F.col("cumulative") <= total / 3) | (F.col("rank") == 1)).select("rank", label, "n", "cumulative")
 
 
 def concentration(freq: DataFrame, label: str, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from datetime import date
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import is_blank, trim_ws
+from citeloom.session import materialize
 
 
 def safe_year(c: Column, max_year: int | None = None) -> Column:
@@ -73,20 +76,37 @@ def fuzzy_key(title: Column, authors: Column) -> Column:
     return F.regexp_replace(F.lower(F.concat(title, F.coalesce(authors, F.lit("nan")))), "[^a-z0-9]", "")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def _near(a: str, b: str, ratio: float) -> bool:
-    return len(a) >= 10 and len(b) >= 10 and abs(len(a) - len(b)) <= 30 and SequenceMatcher(None, a, b).ratio() > ratio
+    return SequenceMatcher(None, a, b).ratio() > ratio
 
 
 def _anchors(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
-    """For each row the first earlier anchor that it resembles, else itself."""
-    anchor: list[int] = []
-    kept: list[tuple[int, str]] = []
-    for ident, text in zip(rows["id"], rows["text"]):
-        hit = next((k for k, t in kept if _near(t, text, ratio)), None)
+    """For each row the first earlier anchor that it resembles, else itself.
+
+    Texts under 10 characters or of lengths that differ by over 30 do not resemble each other (the
+    rule followed here). The ratio cannot exceed what the counts of equal characters allow; this
+    bound, taken against all anchors at once, leaves few exact comparisons.
+    """
+    texts = rows["text"].tolist()
+    sizes = np.array([len(t) for t in texts])
+    counts = np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.int32)
+    kept: list[int] = []
+    anchor = []
+    for i, ident in enumerate(rows["id"]):
+        hit = None
+        if kept and sizes[i] >= 10:
+            k = np.array(kept)
+            both = np.minimum(counts[k], counts[i]).sum(axis=1)
+            fit = (sizes[k] >= 10) & (np.abs(sizes[k] - sizes[i]) <= 30) & (2 * both > ratio * (sizes[k] + sizes[i]))
+            hit = next((j for j in k[fit] if _near(texts[j], texts[i], ratio)), None)
         if hit is None:
-            kept.append((ident, text))
-            hit = ident
-        anchor.append(hit)
+            kept.append(i)
+            anchor.append(ident)
+        else:
+            anchor.append(rows["id"].iloc[hit])
     return pd.DataFrame({"id": rows["id"], "anchor": anchor})
 
 
@@ -122,17 +142,43 @@ def deduplicate(df: DataFrame, order: str = "rec_id", doi: str = "doi", title: s
     return out, report
 
 
-def _suffix(pos: Column) -> Column:
-    """a, b, ..., z, aa, ab, ... for 0, 1, ..."""
-    one = F.char((F.lit(97) + pos % 26).cast("int"))
-    return F.when(pos < 26, one).otherwise(F.concat(F.char((F.lit(96) + F.floor(pos / 26)).cast("int")), one))
+#: Most letters of a suffix; 26 ** 9 repeats of one label are beyond any table.
+SUFFIX_LETTERS = 9
+
+
+def label_suffix(pos: Column) -> Column:
+    """a, b, ..., z, aa, ab, ..., zz, aaa, ... for 0, 1, ..."""
+    out, first = F.lit(""), 0  # first position of each length
+    chain = None
+    for size in range(1, SUFFIX_LETTERS + 1):
+        rest = pos - F.lit(first).cast("long")
+        out = F.concat(*[F.char((F.lit(97) + F.floor(rest / F.lit(26**k).cast("long")) % 26).cast("int")) for k in range(size - 1, -1, -1)])
+        first += 26**size
+        fits = pos < F.lit(first).cast("long")
+        chain = F.when(fits, out) if chain is None else chain.when(fits, out)
+    return chain
+
+
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``df`` with _pos, the place of each row in its group from 0, and _n, the size of the group.
+
+    The rows are sorted over all tasks and each task numbers its share; what comes before is a
+    sum over the tasks. So a group that holds a third of the rows is never gathered in one task.
+    """
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(width, group, order).withColumn("_task", F.spark_partition_id()), "numbered")
+    share = placed.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_c"))  # at most one row per group and task
+    w = W.partitionBy(group)
+    before = share.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy(group, "_task").orderBy(order)) - 1)
+    return own.join(before.drop("_c"), [group, "_task"]).withColumn("_pos", F.col("_own") + F.col("_before")).drop("_own", "_before", "_task")
 
 
 def paper_labels(df: DataFrame, order: str = "rec_id", authors: str = "authors", year: str = "year", title: str = "title") -> DataFrame:
     """(``order``, label): ``FirstAuthor, Year`` or a short title; repeats get a, b, ... after the year.
 
-    Repeats are numbered by a window per label; a label is an author and year, so its group is
-    small unless authors are missing, in which case the title makes it distinct.
+    Repeats are numbered in the order of ``order``.
     """
     first = trim_ws(F.get(F.split(F.get(F.split(authors, ";"), F.lit(0)), ","), F.lit(0)))
     first = F.when(first.rlike(r"(?U)^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$") & (F.length(first) > 1), F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2))))).otherwise(first)
@@ -140,11 +186,4 @@ def paper_labels(df: DataFrame, order: str = "rec_id", authors: str = "authors",
     shown = F.when(~is_blank(F.col(authors)) & (first != ""), first).when(~is_blank(F.col(title)), short).otherwise(F.concat(F.lit("Paper "), (F.col(order) + 1).cast("string")))
     y = F.coalesce(F.col(year).cast("string"), F.lit("N/A"))
     base = df.select(order, F.concat_ws(", ", shown, y).alias("label"))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("label")
-    pos = F.row_number().over(w.orderBy(order)) - 1
-    n = F.count(F.lit(1)).over(w)
-    return base.select(order, "label", pos.alias("p"), n.alias("n")).select(order, F.when(F.col("n") > 1, F.concat("label", _suffix(F.col("p")))).otherwise(F.col("label")).alias("label"))
-
-
+    return numbered(base, "label", order).select(order, F.when(F.col("_n") > 1, F.concat("label", label_suffix(F.col("_pos")))).otherwise(F.col("label")).alias("label"))

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.functions import affiliations as A
 from citeloom.functions import geo as X
 from citeloom.functions import keywords as K
 from citeloom.functions import references as R
-from citeloom.functions.text import is_blank, split_terms, squash_ws
+from citeloom.functions.text import is_blank, split_terms, squash_ws, trim_ws
 from citeloom.operators import bursts as B
 from citeloom.operators import citations as C
 from citeloom.operators import frequency as Q
+from citeloom.operators import maps as Y
 from citeloom.operators import networks as N
 from citeloom.operators import records as D
 from citeloom.operators import structure as S
@@ -276,7 +278,12 @@ def coauthorship_fractional(spark, d):
     return N.pair_counts(V.authors(spark, d), "author", distinct=False, fractional=True, min_weight=0).withColumn("weight", F.round("weight", 4))
 
 
-@register()
+@register(V.AUTHORS, AUTHOR_PAIRS, sql=""", el AS (SELECT author, count(*) AS n FROM authors_v GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT a, b, full_w AS w, x.n AS na, y.n AS nb FROM pairs JOIN el x ON x.author = a JOIN el y ON y.author = b),
+ends AS (SELECT a AS author, w, row_number() OVER o * 2 AS r FROM e WINDOW o AS (ORDER BY w DESC, least(na, nb) DESC, greatest(na, nb) DESC, lower(a), lower(b), a, b) UNION ALL SELECT b, w, row_number() OVER o * 2 + 1 FROM e WINDOW o AS (ORDER BY w DESC, least(na, nb) DESC, greatest(na, nb) DESC, lower(a), lower(b), a, b)),
+st AS (SELECT author, sum(w)::DOUBLE AS strength, count(*) AS degree, min(r) AS r FROM ends GROUP BY 1),
+top AS (SELECT author, n, coalesce(strength, 0) AS strength, coalesce(degree, 0) AS degree FROM el LEFT JOIN st USING (author) ORDER BY r NULLS LAST, strength DESC, degree DESC, n DESC, lower(author), author LIMIT 50),
+inn AS (SELECT a, b FROM e WHERE a IN (SELECT author FROM top) AND b IN (SELECT author FROM top)), lk AS (SELECT a AS author FROM inn UNION SELECT b FROM inn)
+SELECT author, n::DOUBLE AS papers, degree, strength FROM top WHERE author IN (SELECT author FROM lk) OR (SELECT count(*) FROM lk) < 8""".lstrip())
 def coauthorship_network(spark, d):
     """Authors of the edge-first selection with strength and degree."""
     nodes, _ = N.coauthorship(V.authors(spark, d), top_n=50)
@@ -358,17 +365,72 @@ def cocitation_references(spark, d):
     return N.cocitation(V.references(spark, d))[1]
 
 
-@register(V.REFERENCES, sql=COCITE.format(l="ref_source").lstrip())
+@register(V.REFERENCES, f"refs_j AS (SELECT rec_id, {V.sql_title('ref_source')} AS journal FROM refs_v)", sql=COCITE.format(l="journal").replace("refs_v", "refs_j").lstrip())
 def cocitation_journals(spark, d):
-    return N.cocitation(V.references(spark, d), "ref_source")[1]
+    r = V.references(spark, d).select("rec_id", R.title_case(F.col("ref_source")).alias("journal"))
+    return N.cocitation(r, "journal")[1]
 
 
-@register(V.REFERENCES, "refs_a AS (SELECT rec_id, trim(split_part(ref, ',', 1)) AS author FROM refs_v)", sql=COCITE.format(l="author").replace("refs_v", "refs_a").lstrip())
+@register(V.REFERENCES, f"refs_a AS (SELECT rec_id, {V.sql_title(V.sql_trim("split_part(ref, ',', 1)"))} AS author FROM refs_v)", sql=COCITE.format(l="author").replace("refs_v", "refs_a").lstrip())
 def cocitation_authors(spark, d):
-    r = V.references(spark, d).select("rec_id", F.trim(F.split("ref", ",")[0]).alias("author"))
+    r = V.references(spark, d).select("rec_id", R.title_case(trim_ws(F.split("ref", ",")[0])).alias("author"))
     return N.cocitation(r, "author")[1]
 
 
+# --- network maps ---
+
+MAP_NODES = """nd AS (SELECT ref_source AS journal, count(*) AS n FROM refs_v WHERE ref_source IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30),
+kj AS (SELECT DISTINCT rec_id, ref_source AS journal FROM refs_v WHERE ref_source IN (SELECT journal FROM nd)),
+eg AS (SELECT a.journal AS a, b.journal AS b, count(*) AS weight FROM kj a JOIN kj b ON a.rec_id = b.rec_id AND a.journal < b.journal GROUP BY 1, 2 HAVING count(*) >= 2),
+lk AS (SELECT a AS journal FROM eg UNION SELECT b FROM eg), mn AS (SELECT * FROM nd WHERE journal IN (SELECT journal FROM lk)), gr AS (SELECT abbrev AS journal, category AS cluster FROM journals)"""
+
+
+def _journal_map(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Co-cited journals with the categories of the list as their clusters."""
+    refs = V.references(spark, d).select("rec_id", F.col("ref_source").alias("journal"))
+    nodes, edges = N.cocitation(refs, "journal", top_n=30)
+    return nodes, edges, table(spark, d, "journals").select(F.col("abbrev").alias("journal"), F.col("category").alias("cluster"))
+
+
+@register(V.REFERENCES, MAP_NODES, sql="""SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, CAST(sum(weight) AS BIGINT) AS weight
+FROM eg JOIN gr x ON x.journal = a JOIN gr y ON y.journal = b WHERE x.cluster <> y.cluster GROUP BY 1, 2""")
+def cluster_graph(spark, d):
+    _, edges, groups = _journal_map(spark, d)
+    return Y.cluster_graph(edges, groups, "journal")
+
+
+@register(V.REFERENCES, MAP_NODES, sql=""", tp AS (SELECT * FROM mn ORDER BY n DESC, journal LIMIT 24), ti AS (SELECT a AS journal FROM eg WHERE a IN (SELECT journal FROM tp) AND b IN (SELECT journal FROM tp) UNION SELECT b FROM eg WHERE a IN (SELECT journal FROM tp) AND b IN (SELECT journal FROM tp)),
+o AS (SELECT journal, cluster, n, (row_number() OVER (ORDER BY cluster NULLS LAST, n DESC, journal) - 1)::INT AS place, count(*) OVER () AS k FROM tp LEFT JOIN gr USING (journal) WHERE journal IN (SELECT journal FROM ti))
+SELECT journal, cluster, n, place, round(cos(2 * pi() * place / k), 4) AS x, round(sin(2 * pi() * place / k), 4) AS y FROM o""".lstrip())
+def circular_map(spark, d):
+    return Y.circular_map(*_journal_map(spark, d), "journal")
+
+
+@register(V.REFERENCES, MAP_NODES, sql=""", st AS (SELECT journal, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT a AS journal, weight FROM eg UNION ALL SELECT b, weight FROM eg) GROUP BY 1),
+rk AS (SELECT journal, cluster, n, coalesce(strength, 0) AS strength, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, coalesce(strength, 0) DESC, journal DESC) AS g FROM mn LEFT JOIN st USING (journal) LEFT JOIN gr USING (journal)),
+al AS (SELECT *, g <= 2 AND cluster IS NOT NULL AS first FROM rk), rr AS (SELECT *, row_number() OVER (ORDER BY first DESC, n DESC, strength DESC, journal DESC) AS r FROM al)
+SELECT journal, cluster FROM rr WHERE first OR r <= 18""".lstrip())
+def visible_labels(spark, d):
+    return Y.visible_labels(*_journal_map(spark, d), "journal")
+
+
+@register()
+def bridge_scores(spark, d):
+    nodes, edges, _ = _journal_map(spark, d)
+    return Y.bridge_scores(nodes, edges, "journal")
+
+
+@register()
+def network_positions(spark, d):
+    nodes, edges, _ = _journal_map(spark, d)
+    return Y.network_positions(nodes, edges, "journal")
+
+
+@register()
+def hole_summary(spark, d):
+    return Y.hole_summary(structural_holes(spark, d))
+
+
 @register(V.REFERENCES, sql=""", top AS (SELECT ref, count(*) AS n FROM refs_v WHERE ref IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), k AS (SELECT DISTINCT rec_id, ref FROM refs_v WHERE ref IN (SELECT ref FROM top)),
 e AS (SELECT a.ref AS a, b.ref AS b FROM k a JOIN k b ON a.rec_id = b.rec_id AND a.ref < b.ref GROUP BY 1, 2 HAVING count(*) >= 2), l AS (SELECT a AS ref FROM e UNION SELECT b FROM e)
 SELECT top.ref, top.n, (SELECT arg_min(ref_source, struct_pack(r := rec_id, s := ref_source)) FROM refs_v r WHERE r.ref = top.ref AND ref_source IS NOT NULL) AS journal,
@@ -630,14 +692,24 @@ def scored_institutions(spark, d):
     return Q.ranked_table(Q.frequency(V.scored_institutions(spark, d), "institution"), "institution", 50)
 
 
-@register()
+@register(V.SHORT_REFERENCES, sql="""SELECT ref, CAST(sum(n) AS BIGINT) AS n, min(year) AS year, min(journal) AS journal FROM short_v JOIN (SELECT raw, count(*) AS n FROM raw_v GROUP BY raw) USING (raw)
+WHERE ref IS NOT NULL GROUP BY ref""")
 def short_references(spark, d):
     raw = table(spark, d, "papers").select(F.explode(R.reference_list(F.col("cited_references"))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
     r = spread(raw).select("n", R.short_reference(F.col("raw")).alias("ref"), R.reference_year(F.col("raw")).alias("year"), R.title_case(R.reference_journal(F.col("raw"))).alias("journal"))
     return r.filter("ref is not null").groupBy("ref").agg(F.sum("n").alias("n"), F.min("year").alias("year"), F.min("journal").alias("journal"))
 
 
-@register()
+@register(V.PAPERS, f"""keys AS (SELECT rec_id, {V.sql_author_token("first")} AS a, {V.sql_year_token("CAST(year AS VARCHAR)")} AS y, {V.sql_journal_token("journal")} AS j, {V.sql_doi_token("doi")} AS doi
+  FROM (SELECT *, {V.sql_terms("authors")}[1] AS first FROM papers_v)),
+by_key AS (SELECT a || ', ' || y || ', ' || j AS k, min(rec_id) AS k_id FROM keys WHERE a <> '' AND y <> '' AND j <> '' GROUP BY 1), by_doi AS (SELECT doi, min(rec_id) AS d_id FROM keys WHERE doi IS NOT NULL GROUP BY 1),
+raw_v AS (SELECT paper_id AS rec_id, unnest({V.sql_terms("cited_references")}) AS raw FROM papers),
+parts AS (SELECT raw, list_filter(list_transform(string_split(upper(raw), ','), lambda x: {V.sql_trim("x")}), lambda x: x <> '') AS p FROM (SELECT DISTINCT raw FROM raw_v)),
+years AS (SELECT raw, p, list_transform(p[2:5], lambda x: {V.sql_year_token("x")}) AS ys FROM parts),
+placed AS (SELECT raw, p, ys, coalesce(list_position(list_transform(ys, lambda x: x <> ''), true), 0) AS yp FROM years),
+named AS (SELECT raw, {V.sql_doi_token("raw")} AS doi, CASE WHEN length(p) >= 3 AND yp > 0 THEN {V.sql_author_token("p[1]")} END AS a, ys[yp] AS y, {V.sql_journal_token("p[yp + 2]")} AS j FROM placed),
+hit AS (SELECT raw, coalesce(k_id, d_id) AS dst FROM (SELECT raw, doi, CASE WHEN a <> '' AND y <> '' AND j <> '' THEN a || ', ' || y || ', ' || j END AS k FROM named) LEFT JOIN by_key USING (k) LEFT JOIN by_doi USING (doi))""",
+          sql="SELECT DISTINCT rec_id AS src, dst FROM raw_v JOIN hit USING (raw) WHERE dst IS NOT NULL")
 def internal_citations(spark, d):
     p = V.papers(spark, d)
     refs = table(spark, d, "papers").select(F.col("paper_id").alias("rec_id"), F.explode(R.reference_list(F.col("cited_references"))).alias("raw"))
@@ -651,7 +723,12 @@ def fuzzy_dedup(spark, d):
     return records.select("rec_id", "year", squash_ws(F.col("title")).alias("title"))
 
 
-@register()
+@register(V.PAPERS, sql=f"""SELECT rec_id, CASE WHEN n > 1 THEN label || CASE WHEN p < 26 THEN chr(97 + p) WHEN p < 702 THEN chr(97 + (p - 26) // 26) || chr(97 + (p - 26) % 26)
+  ELSE chr(97 + (p - 702) // 676) || chr(97 + ((p - 702) // 26) % 26) || chr(97 + (p - 702) % 26) END ELSE label END AS label FROM (
+  SELECT rec_id, label, (row_number() OVER w - 1)::INT AS p, count(*) OVER (PARTITION BY label) AS n FROM (SELECT rec_id, CASE WHEN NOT ({V.sql_trim("coalesce(authors, '')")} IN ('', 'nan')) AND f <> '' THEN f
+    WHEN NOT ({V.sql_trim("coalesce(title, '')")} IN ('', 'nan')) THEN CASE WHEN length(title) <= 25 THEN title ELSE title[1:22] || '...' END ELSE 'Paper ' || (rec_id + 1) END || ', ' || coalesce(CAST(year AS VARCHAR), 'N/A') AS label
+    FROM (SELECT *, CASE WHEN regexp_matches(g, '^[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*$') AND length(g) > 1 THEN upper(g[1:1]) || lower(g[2:]) ELSE g END AS f FROM (SELECT *, {V.sql_trim("split_part(split_part(authors, ';', 1), ',', 1)")} AS g FROM papers_v)))
+  WINDOW w AS (PARTITION BY label ORDER BY rec_id))""")
 def paper_labels(spark, d):
     return D.paper_labels(V.papers(spark, d))
 
@@ -735,7 +812,8 @@ def topics_against_keywords(spark, d):
     return M.topics_against_keywords(M.topics(V.papers(spark, d), k=6)[0], keyword_frequency(spark, d, V.all_keywords))
 
 
-@register()
+@register(sql=_ranked("countries_v", V.COUNTRIES, "country", "country", 50).replace("SELECT (row_number", "SELECT r.*, c.iso3, p.lat, p.lng FROM (SELECT (row_number") + f""") r LEFT JOIN (VALUES {", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in X.ISO3.items())}) c(country, iso3) ON c.country = r.country
+LEFT JOIN (VALUES {", ".join(f"('{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for k, v in X.POSITIONS.items())}) p(iso3, lat, lng) ON p.iso3 = c.iso3""")
 def country_codes(spark, d):
     """Countries of the papers with code and map position."""
     top = paper_countries(spark, d).withColumn("iso3", X.iso3(F.col("country")))
@@ -744,7 +822,7 @@ def country_codes(spark, d):
 
 @register()
 def stable_brokers(spark, d):
-    return P.stable_brokers(robustness(spark, d))
+    return P.stable_brokers(robustness(spark, d), least=0.25)
 
 
 @register_keywords(V.AUTHORS, V.COUNTRIES, V.KEYWORDS, V.REFERENCES, sql="""SELECT (SELECT count(DISTINCT author) FROM authors_v) AS authors, (SELECT count(DISTINCT country) FROM countries_v) AS countries,
@@ -756,6 +834,29 @@ def distinct_counts(spark, d, keywords=V.keywords):
     return out
 
 
+PATTERNS = {"Systematic Review": r"systematic (?:literature )?review", "Survey": r"\bsurvey", "Citation Networks": r"citation (?:network|graph)s?", "Open Science": r"open (?:science|access|data)"}
+
+
+@register(sql="\nUNION ALL ".join(
+    f"SELECT paper_id, '{name}' AS term FROM papers WHERE regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{p}')" for name, p in PATTERNS.items()
+))
+def pattern_terms(spark, d):
+    return K.pattern_terms(table(spark, d, "papers"), "paper_id", PATTERNS)
+
+
+@register(V.SCORED, V.INSTITUTIONS.split(",\n", 1)[1], V.AUTHORS, f"""plain_v AS (SELECT DISTINCT {V.sql_trim("split_part(body, ',', 1)")} AS i FROM blocks_v)""",
+          sql="""SELECT (SELECT count(DISTINCT institution) FROM scored_v) AS scored, (SELECT count(DISTINCT institution) FROM inst_v) AS chosen, (SELECT count(*) FROM plain_v WHERE i <> '') AS plain,
+(SELECT count(DISTINCT author) FROM authors_v WHERE rec_id IN (SELECT rec_id FROM authors_v GROUP BY rec_id HAVING count(DISTINCT author) > 1)) AS coauthors""")
+def institution_counts(spark, d):
+    """Distinct institutions by the three readings of an address, and distinct authors who write with others."""
+    plain = table(spark, d, "papers").select(F.explode(A.plain_institutions_of(F.col("affiliations"))).alias("i"))
+    au = V.authors(spark, d)
+    shared = au.groupBy("rec_id").agg(F.countDistinct("author").alias("k")).filter("k > 1")
+    out = Q.distinct_count(V.scored_institutions(spark, d), "institution", "scored")
+    out = out.withColumn("chosen", Q.distinct_count(V.institutions(spark, d), "institution", "chosen").scalar()).withColumn("plain", Q.distinct_count(plain, "i", "plain").scalar())
+    return out.withColumn("coauthors", Q.distinct_count(au.join(shared, "rec_id", "left_semi"), "author", "coauthors").scalar())
+
+
 @register(V.PAPERS, sql="SELECT rec_id, year FROM papers_v WHERE year BETWEEN greatest(2010, (SELECT min(year) FROM papers_v)) AND least(2015, (SELECT max(year) FROM papers_v))")
 def year_window(spark, d):
     return D.year_window(V.papers(spark, d), 2010, 2015).select("rec_id", "year")

@@ -209,5 +209,41 @@ scored_v AS (SELECT DISTINCT rec_id, institution FROM (SELECT rec_id, CASE WHEN
   FROM blocks_v JOIN pieces USING (b) LEFT JOIN best USING (b)) WHERE institution IS NOT NULL)"""
 
 
+def sql_title(x: str) -> str:
+    """``title_case`` of a string as SQL."""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1:1]) || lower(w[2:])), '')"
+
+
+#: Raw references of ``cited_references`` with their short form, year and journal.
+_bare = "regexp_replace(regexp_replace(raw, '\\[.*?\\]', '', 'g'), '\\(.*?\\)', '', 'g')"
+SHORT_REFERENCES = f"""raw_v AS (SELECT paper_id AS rec_id, unnest({sql_terms('cited_references')}) AS raw FROM papers),
+short_p AS (SELECT raw, list_transform(string_split(raw, ','), lambda x: {sql_trim('x')}) AS p, regexp_extract(raw, '[,][{BLANKS}]*(\\d{{4}})\\b', 1) AS y, {_bare} AS bare FROM (SELECT DISTINCT raw FROM raw_v)),
+short_q AS (SELECT raw, p, y, bare, list_filter(p[2:], lambda x: regexp_matches(x, '^\\d{{4}}'))[1] AS py,
+  list_filter(list_transform(string_split(regexp_replace({sql_trim("regexp_extract(bare, '(?s)^.*?,\\s*\\d{4}\\b(.*)$', 1)")}, '^,', ''), ','), lambda x: {sql_trim('x')}), lambda x: NOT regexp_matches(upper(x), '^V[OL.]*\\s*\\d+')
+    AND NOT regexp_matches(upper(x), '^P[AG.]*\\s*\\d+') AND NOT regexp_matches(x, '^\\d+$') AND lower(x) NOT IN ('et al', 'et al.') AND length(x) >= 2)[1] AS j FROM short_p),
+short_v AS (SELECT raw, CASE WHEN length(raw) >= 5 AND NOT starts_with(lower(raw), '[anonymous]') AND NOT regexp_matches(o, '^[\\d\\s]+$') THEN o END AS ref, CASE WHEN try_cast(y AS INT) BETWEEN 1900 AND 2030 THEN try_cast(y AS INT) END AS year, journal
+  FROM (SELECT raw, y, CASE WHEN length(p) >= 2 THEN CASE WHEN length(p[1]) >= 2 AND py IS NOT NULL THEN p[1] || ', ' || py END WHEN length(raw) >= 8 THEN raw[1:60] END AS o,
+    CASE WHEN length(raw) >= 10 AND regexp_matches(bare, ',\\s*\\d{{4}}\\b') THEN {sql_title(sql_squash('j'))} END AS journal FROM short_q))"""
+
+
+def sql_author_token(x: str) -> str:
+    t = f"regexp_replace(split_part(split_part(upper({sql_trim(x)}), ',', 1), ' ', 1), '[^A-Z0-9-]', '', 'g')"
+    return f"(CASE WHEN {x} IS NULL OR {sql_trim(x)} IN ('', 'nan') OR {t} = '' THEN 'UNKNOWN' ELSE {t} END)"
+
+
+def sql_year_token(x: str) -> str:
+    t = sql_trim(x)
+    d = f"try_cast({t} AS DOUBLE)"
+    return f"(CASE WHEN {x} IS NULL OR {t} IN ('', 'nan') THEN '' WHEN {d} IS NOT NULL AND NOT isnan({d}) THEN CAST(CAST(floor({d}) AS BIGINT) AS VARCHAR) WHEN regexp_matches({t}[1:4], '^\\d{{4}}$') THEN {t}[1:4] ELSE '' END)"
+
+
+def sql_journal_token(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR {sql_trim(x)} IN ('', 'nan') THEN '' ELSE regexp_extract(upper({x}), '[A-Z0-9]+') END)"
+
+
+def sql_doi_token(x: str) -> str:
+    return f"nullif(upper(rtrim(regexp_extract({x}, '(?i)10\\.\\d{{4,9}}/[^\\s\\],;]+'), '].,;)')), '')"
+
+
 def with_views(*views: str, sql: str) -> str:
     return "WITH " + ",\n".join(views) + "\n" + sql

@@ -94,7 +94,10 @@ def safe_name(name: str) -> str:
 
 
 def export_tables(corpus: Corpus, path: str, selected: list[str] | None = None) -> dict[str, str]:
-    """Each table as a CSV folder under ``path``; returns name -> ``written``, ``skipped`` or the error."""
+    """Each table as a CSV folder under ``path``; returns name -> ``written``, ``skipped`` or the error.
+
+    A folder has as many files as the table has tasks; small tables are joined into one by AQE.
+    """
     status: dict[str, str] = {}
     for name, (needs, build) in TABLES.items():
         if selected is not None and name not in selected:
@@ -103,7 +106,7 @@ def export_tables(corpus: Corpus, path: str, selected: list[str] | None = None)
             status[name] = "skipped"
             continue
         try:
-            build(corpus).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{safe_name(name)}")
+            build(corpus).write.mode("overwrite").option("header", True).csv(f"{path}/{safe_name(name)}")
             status[name] = "written"
         except Exception as e:  # noqa: BLE001 - one table must not stop the others
             status[name] = f"{type(e).__name__}: {str(e)[:200]}"
@@ -111,15 +114,23 @@ def export_tables(corpus: Corpus, path: str, selected: list[str] | None = None)
 
 
 def export_zip(corpus: Corpus, selected: list[str] | None = None, rows: int = BUNDLE_ROWS) -> bytes:
-    """The bounded tables as CSV files and a manifest in one archive; ``rows`` bounds each table."""
+    """The tables as CSV files and a manifest in one archive.
+
+    An archive is made by the driver, so it takes whole tables of at most ``rows`` rows; larger
+    ones are named in the manifest as left out (``export_tables`` writes them).
+    """
     buffer = io.BytesIO()
-    names = []
+    names, left_out = [], []
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for name, (needs, build) in TABLES.items():
             if (selected is None or name in selected) and corpus.has(*needs):
-                z.writestr(f"{name}.csv", build(corpus).limit(rows).toPandas().to_csv(index=False))
+                found = build(corpus).limit(rows + 1).toPandas()
+                if len(found) > rows:
+                    left_out.append(name)
+                    continue
+                z.writestr(f"{name}.csv", found.to_csv(index=False))
                 names.append(name)
-        z.writestr("manifest.json", json.dumps({"tables": names, "row_limit": rows}, indent=2))
+        z.writestr("manifest.json", json.dumps({"tables": names, "left_out": left_out, "row_limit": rows}, indent=2))
     return buffer.getvalue()
 
 

@@ -127,3 +127,10 @@ def bundle(corpus: Corpus, parameters: dict[str, dict] | None = None) -> bytes:
             z.writestr(name, text)
         z.writestr("index.json", json.dumps(sorted(files), indent=2))
     return buffer.getvalue()
+
+
+def entity_signals(summary: DataFrame, label: str, top_n: int = 5) -> dict[str, list[str]]:
+    """leading, rising and cooling entities among the first ``top_n`` of an entity forecast."""
+    rows = _rows(summary.orderBy(F.desc("projected_growth"), F.desc("projected_next"), F.desc("total"), label).limit(top_n))
+    names = [r[label] for r in rows]
+    return {"leading": names[:2], "rising": [r[label] for r in rows if r["projected_growth"] > 0][:2], "cooling": [r[label] for r in rows if r["projected_growth"] < 0][:1]}
