@@ -442,7 +442,11 @@ def span_text(run: str, places: list[tuple[int, int]], i: int, j: int) -> str:
 
 
 def allowed_spans(parts: list[str], kinds: list[str], rule: dict) -> Iterator[tuple[int, int]]:
-    """Spans that cross no sure cut and end at no sure join."""
+    """Spans that cross no sure cut and end at no sure join.
+
+    Beyond ``MAX_OPEN`` undecided delimiters only the whole stretch between two sure cuts is a
+    span, so that a long value is found too while the edges stay in proportion to the cell.
+    """
     n = len(parts)
     cls = [classed(p) for p in parts]
     what = [rule.get((cls[k], kinds[k], cls[k + 1]), 2) for k in range(n - 1)]
@@ -450,13 +454,14 @@ def allowed_spans(parts: list[str], kinds: list[str], rule: dict) -> Iterator[tu
         if i and what[i - 1] == 0:
             continue
         undecided = 0
+        whole = i == 0 or what[i - 1] == 1
         for j in range(i, n):
             if j > i and what[j - 1] == 1:
                 break
             undecided += j > i and what[j - 1] == 2
-            if undecided > MAX_OPEN:
+            if undecided > MAX_OPEN and not whole:
                 break
-            if j < n - 1 and what[j] == 0:
+            if j < n - 1 and (what[j] == 0 or undecided > MAX_OPEN and what[j] != 1):
                 continue
             yield i, j
 

@@ -11,7 +11,7 @@ from citeloom.functions import affiliations as A
 from citeloom.functions import geo as X
 from citeloom.functions import keywords as K
 from citeloom.functions import references as R
-from citeloom.functions.text import is_blank, split_terms, squash_ws, trim_ws
+from citeloom.functions.text import cut_label, is_blank, safe_text, split_terms, squash_ws, trim_ws
 from citeloom.operators import bursts as B
 from citeloom.operators import citations as C
 from citeloom.operators import frequency as Q
@@ -862,6 +862,71 @@ def year_window(spark, d):
     return D.year_window(V.papers(spark, d), 2010, 2015).select("rec_id", "year")
 
 
+@register(sql=f"""SELECT x AS language, count(*) AS n FROM (SELECT CASE WHEN lang IS NULL OR {V.sql_trim('lang')} IN ('', 'nan') THEN 'Unknown' ELSE {V.sql_trim('lang')} END AS x FROM papers) GROUP BY 1""")
+def language_or_unknown(spark, d):
+    return Q.frequency(table(spark, d, "papers").select(safe_text(F.col("lang")).alias("language")), "language")
+
+
+@register(sql=f"SELECT {V.sql_trim('doc_type')} AS doc_type, count(*) AS n FROM papers WHERE doc_type IS NOT NULL AND {V.sql_trim('doc_type')} NOT IN ('', 'nan') GROUP BY 1")
+def simple_frequency(spark, d):
+    return Q.single_value_frequency(table(spark, d, "papers"), "doc_type")
+
+
+@register(sql=f"SELECT category, count(*) AS n FROM (SELECT unnest({V.sql_terms('section')}) AS category FROM documents) GROUP BY 1")
+def section_or_source(spark, d):
+    """Sections of the documents, or their sources if no document has a section."""
+    return Q.fallback_frequency(table(spark, d, "documents"), "section", "source")
+
+
+_DE = V.KEYWORDS.replace("list_concat(" + V.sql_terms("author_keywords") + ", " + V.sql_terms("keywords_plus") + ")", V.sql_terms("author_keywords"))
+_ID = V.KEYWORDS.replace("list_concat(" + V.sql_terms("author_keywords") + ", " + V.sql_terms("keywords_plus") + ")", V.sql_terms("keywords_plus"))
+
+
+def _metadata(spark, d, source: str) -> DataFrame:
+    p = spread(table(spark, d, "papers").select("author_keywords", "keywords_plus"))
+    return Q.frequency(p.select(F.explode(K.metadata_terms(F.col("author_keywords"), F.col("keywords_plus"), source)).alias("keyword")), "keyword")
+
+
+@register(_DE, sql="SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1")
+def author_keyword_terms(spark, d):
+    return _metadata(spark, d, "DE")
+
+
+@register(_ID, sql="SELECT keyword, count(*) AS n FROM keywords_v GROUP BY 1")
+def keywords_plus_terms(spark, d):
+    return _metadata(spark, d, "ID")
+
+
+@register(V.SHORT_REFERENCES.split(",\nshort_p", 1)[0], sql=f"""SELECT ref, count(*) AS n FROM (SELECT CASE WHEN length(a) >= 2 AND NOT starts_with(a, '[ANONYMOUS]') AND y IS NOT NULL THEN a || ', ' || y END AS ref
+FROM (SELECT upper(p[1]) AS a, list_filter(list_transform(p[2:4], lambda x: regexp_extract(x, '^(\\d{{4}})', 1)), lambda x: x <> '')[1] AS y
+FROM (SELECT list_filter(list_transform(string_split(raw, ','), lambda x: {V.sql_trim('x')}), lambda x: x <> '') AS p FROM raw_v))) WHERE ref IS NOT NULL GROUP BY 1""")
+def upper_references(spark, d):
+    raw = table(spark, d, "papers").select(F.explode(R.reference_list(F.col("cited_references"))).alias("raw"))
+    return Q.frequency(raw.select(R.upper_reference(F.col("raw")).alias("ref")).filter("ref is not null"), "ref")
+
+
+@register(V.SHORT_REFERENCES, f"""cited AS (SELECT raw, {V.sql_trim("split_part(bare, ',', 1)")} AS a FROM short_p)""", sql="""SELECT (SELECT count(DISTINCT ref) FROM short_v) AS refs, (SELECT count(DISTINCT journal) FROM short_v) AS journals,
+(SELECT count(DISTINCT a) FROM cited WHERE length(raw) >= 5 AND length(a) >= 2 AND lower(a) NOT IN ('et al', 'et al.') AND NOT regexp_matches(a, '^[\\d\\s]+$')) AS authors""")
+def cited_counts(spark, d):
+    """Distinct works, journals and first authors among the cited references."""
+    raw = spread(table(spark, d, "papers").select(F.explode(R.reference_list(F.col("cited_references"))).alias("raw")).distinct())
+    r = raw.select(R.short_reference(F.col("raw")).alias("ref"), R.title_case(R.reference_journal(F.col("raw"))).alias("journal"), R.reference_author(F.col("raw")).alias("author"))
+    return r.agg(F.countDistinct("ref").alias("refs"), F.countDistinct("journal").alias("journals"), F.countDistinct("author").alias("authors"))
+
+
+TOPIC = ["citation", "open science", "c++"]
+
+
+@register(sql="SELECT paper_id FROM papers WHERE " + " OR ".join(f"contains(lower(concat_ws(' ', title, abstract)), '{t}')" for t in TOPIC))
+def topic_match(spark, d):
+    return C.topic_match(table(spark, d, "papers"), TOPIC, ["title", "abstract"]).select("paper_id")
+
+
+@register(sql=f"""SELECT paper_id, CASE WHEN length(t) <= 48 THEN t ELSE t[1:45] || '...' END AS label FROM (SELECT paper_id, CASE WHEN title IS NULL OR {V.sql_trim('title')} IN ('', 'nan') THEN 'Untitled' ELSE {V.sql_trim('title')} END AS t FROM papers)""")
+def title_labels(spark, d):
+    return table(spark, d, "papers").select("paper_id", cut_label(safe_text(F.col("title"), "Untitled")).alias("label"))
+
+
 # --- extensions over events ---
 
 

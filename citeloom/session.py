@@ -68,8 +68,21 @@ def _clear() -> None:
             pass
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what ``materialize`` and ``scratch_path`` have put into the shared folder so far.
+
+    For long sessions, between two queries: DataFrames that were built before must not be used
+    afterwards. Returns the number of paths removed.
+    """
+    mine = [(s, p) for s, p in _written if s is spark]
+    for s, p in mine:
+        remove_path(s, p)
+        _written.remove((s, p))
+    return len(mine)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by ``clear_scratch`` or when the driver ends."""
     path = f"{shared_dir(spark)}/citeloom/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path

@@ -129,3 +129,20 @@ def test_plain_and_general_parse_agree(pieces):
     longer = parse_run(f"{run}, [z")
     if parts:
         assert (longer[0][:-1], longer[1][:-1], longer[2][:-1]) == (parts, kinds, places)
+
+
+def test_long_values_between_sure_cuts():
+    """A stretch with more undecided delimiters than MAX_OPEN is a span of its own."""
+    from citeloom.operators.multivalue import MAX_OPEN, allowed_spans
+
+    n = MAX_OPEN + 8
+    spans = set(allowed_spans([f"p{k}" for k in range(n)], [","] * (n - 1), {}))
+    assert (0, n - 1) in spans and (0, n - 2) not in spans and (1, n - 1) not in spans and (1, MAX_OPEN + 1) in spans
+    assert len(spans) <= n * (MAX_OPEN + 1) + 1
+
+
+def test_scratch_is_cleared(spark):
+    from citeloom.session import clear_scratch, materialize
+
+    df = materialize(spark.range(3), "scratch-test")
+    assert df.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
