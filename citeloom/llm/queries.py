@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import is_blank, split_terms, term_key
 from citeloom.llm.canonical import map_to_canonical
 from citeloom.llm.formatting import formatting_duplicates
-from citeloom.llm.fusion import bare_doi, fuse, grouped_rows
+from citeloom.llm.fusion import CUT_MARK, STAND_INS, bare_doi, fuse, grouped_rows
 from citeloom.llm.leaks import find_leaks, leak_report
 from citeloom.llm.mojibake import garbled_cells
 from citeloom.llm.packing import pack_texts, packing_summary
@@ -167,6 +167,22 @@ def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select(F.col("key").alias("doi"), "title_id", F.round("title_p", 4).alias("title_p"), "abstract_id", F.round("abstract_p", 4).alias("abstract_p"))
 
 
+_NORM = r"regexp_replace(lower(regexp_replace(t, '{cut}', '', 'g')), '[^\p{L}\p{N}]+', '', 'g')".replace("{cut}", CUT_MARK)
+_ONE_FIELD = r"""{f}_c AS (SELECT k, paper_id, feed, exported_at, n, length(n) * (n NOT IN ({stand}))::INT AS size, n IN ({stand}) AS blank, regexp_matches(t, '{cut}') AS marked
+  FROM (SELECT k, paper_id, feed, exported_at, t, {norm} AS n FROM (SELECT *, regexp_replace(coalesce({f}, ''), '^\s+|\s+$', '', 'g') AS t FROM g))),
+{f}_m AS (SELECT k, arg_max(n, struct_pack(s := size, n := n)) AS fullest, max(size) AS most FROM {f}_c GROUP BY k),
+{f}_b AS (SELECT k, arg_min(paper_id, struct_pack(r := coalesce(trust_rank, 2147483647), t := -coalesce(epoch_us(exported_at), -4611686018427387904), i := paper_id)) AS {f}_id
+  FROM {f}_c JOIN {f}_m USING (k) LEFT JOIN export_feeds USING (feed) WHERE NOT blank AND NOT (size < most AND (starts_with(fullest, n) OR marked)) GROUP BY k)"""
+#: The same survivors by rank, time and id in plain SQL.
+P6_FOUND_SQL = (
+    r"""WITH d AS (SELECT *, nullif(regexp_extract(lower(doi), '(10\.\d{4,9}/\S*[^\s.,;:"''])', 1), '') AS k FROM papers),
+g AS (SELECT * FROM d WHERE k IN (SELECT k FROM d WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1)),
+"""
+    + ",\n".join(_ONE_FIELD.replace("{norm}", _NORM).replace("{stand}", ", ".join(f"'{x}'" for x in STAND_INS)).replace("{cut}", CUT_MARK).replace("{f}", f) for f in ("title", "abstract"))
+    + "\nSELECT k AS doi, coalesce(title_id, 0) AS title_id, coalesce(abstract_id, 0) AS abstract_id FROM (SELECT DISTINCT k FROM g) LEFT JOIN title_b USING (k) LEFT JOIN abstract_b USING (k)"
+)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("paper_id", "field_name").distinct()
 
@@ -180,6 +196,26 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, misplaced, over_capacity, well_filled): rows that are not placed exactly once from
+    the first to the last token, containers beyond the capacity, and whether the containers are
+    at most 2 % more than the least possible number by volume and the bins left open."""
+    docs = table(spark, sf_dir, "documents")
+    packed = materialize(pack_texts(docs), "packed")
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("piece_start") + F.col("n_tokens")).alias("end"))
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    wrong = rows.join(per, "doc_id", "left").filter("k is null or k <> copies * last or n <> copies * end").agg(F.count(F.lit(1))).scalar()
+    bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max("place").alias("p"), F.count(F.lit(1)).alias("k"))
+    over = bins.filter("n > 2048 or p <> k").agg(F.count(F.lit(1))).scalar()
+    tasks = packed.select(F.shiftright("container_id", 40)).distinct().count()
+    s = packing_summary(packed)
+    out = s.select((F.col("containers") <= F.col("fewest") * 1.02 + 2 * tasks).alias("well_filled"))
+    return out.select(docs.agg(F.count(F.lit(1))).scalar().alias("documents"), wrong.alias("misplaced"), over.alias("over_capacity"), "well_filled")
+
+
+P8_CHECK_SQL = "SELECT count(*) AS documents, 0::BIGINT AS misplaced, 0::BIGINT AS over_capacity, true AS well_filled FROM documents"
+
+
 def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_summary(pack_texts(table(spark, sf_dir, "documents")))
 
@@ -188,6 +224,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+#: Equality join of all runs of 12 words.
+P9_FOUND_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents),
+h AS (SELECT item_id, regexp_extract_all(replace(lower(item_text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM heldout_items),
+hw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, length(w) - 10)) AS i FROM h)),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, length(w) - 10)) AS i FROM d))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN hw USING (g)
+"""
+P9_REPORT_SQL = "SELECT item_id, count(*) AS documents FROM (" + P9_FOUND_SQL + ") GROUP BY item_id"
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p9_found(spark, sf_dir))
 
@@ -203,7 +250,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     p1_found, p1_term_counts, p1_keywords_plus_counts, p1_keywords_plus_revised, p3_found, p3_keywords_plus_pairs, p4_found, p4_unmatched, p5_found, p5_collapsed,
-    p6_found, p6_fused, p7_found, p7_repaired, p8_packing, p8_summary, p9_found, p9_report, p10_found, p10_clean,
+    p6_found, p6_fused, p7_found, p7_repaired, p8_packing, p8_check, p8_summary, p9_found, p9_report, p10_found, p10_clean,
 ]
 
 
@@ -212,4 +259,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_keywords_plus_counts": P1_PLUS_SQL, "p1_keywords_plus_revised": P1_REVISED_SQL, "p3_keywords_plus_pairs": P3_PLUS_SQL}
+    return {
+        "p1_keywords_plus_counts": P1_PLUS_SQL, "p1_keywords_plus_revised": P1_REVISED_SQL, "p3_keywords_plus_pairs": P3_PLUS_SQL, "p6_found": P6_FOUND_SQL,
+        "p8_check": P8_CHECK_SQL, "p9_found": P9_FOUND_SQL, "p9_report": P9_REPORT_SQL,
+    }
