@@ -1,9 +1,10 @@
 """Duplicates that differ in formatting only: Merkle-style hashing of nested records.
 
-Leaves are normalised (letter case, white space, punctuation), an author node digests its
-surname and its initials wherever they stand, the authors node digests its children in
-digest order, the root digests title, authors and year. Rows are grouped by root digest and
-then compared as a whole with the group's first row.
+Leaves are normalised (letter case, white space, punctuation, signs). An author node digests
+the leaves of its surname and of its initials, wherever they stand; the authors node, whose
+children have no order, digests their digests in digest order; the root digests title, authors
+and year. Rows are grouped by root digest and then compared as a whole with the group's first
+row.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ def folded(c: Column) -> Column:
 
 
 def bare_text(c: Column) -> Column:
-    """Folded text without white space, punctuation and control characters; symbols stay."""
-    return F.regexp_replace(folded(c), r"[\p{P}\p{Z}\p{C}\p{Sk}\s]+", "")
+    """Folded letters, digits and marks; white space, punctuation and signs are left out."""
+    return F.regexp_replace(folded(c), r"[^\p{L}\p{N}\p{M}]+", "")
 
 
 def spaced_text(c: Column) -> Column:
@@ -45,11 +46,11 @@ def year_number(c: Column) -> Column:
 
 
 def author_node(item: Column) -> Column:
-    """Canonical author: surname words in order, then initials in order."""
+    """(digest, text) of an author: the leaves are the surname words and the initials, each in order."""
     words = F.filter(F.split(spaced_text(item), " "), lambda w: w != "")
-    names = F.filter(words, lambda w: F.length(w) > 1)
-    initials = F.filter(words, lambda w: F.length(w) == 1)
-    return F.concat_ws("|", F.array_join(names, " "), F.array_join(initials, ""))
+    names = F.array_join(F.filter(words, lambda w: F.length(w) > 1), " ")
+    initials = F.array_join(F.filter(words, lambda w: F.length(w) == 1), "")
+    return F.struct(F.md5(F.concat(F.md5(names), F.md5(initials))).alias("digest"), F.concat_ws("|", names, initials).alias("text"))
 
 
 def formatting_duplicates(papers: DataFrame, id_col: str = "paper_id", title: str = "title", authors: str = "authors", year: str = "pub_year") -> DataFrame:
@@ -65,11 +66,11 @@ def formatting_duplicates(papers: DataFrame, id_col: str = "paper_id", title: st
     people = (
         split_packed(base.select("id", "au"), "id", ["au"])
         .select("id", author_node(F.col("item")).alias("node"))
-        .groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # one record's authors
-    )
-    tree = leaves.join(people, "id").withColumn(
-        "root", F.md5(F.concat_ws("/", F.md5("t"), F.md5(F.array_join(F.transform("nodes", lambda x: F.md5(x)), "")), F.col("y").cast("string")))
+        .groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # one record's authors, in digest order
     )
+    inner = F.md5(F.array_join(F.transform("nodes", lambda x: x["digest"]), ""))
+    tree = leaves.join(people, "id").withColumn("root", F.md5(F.concat(F.md5("t"), inner, F.md5(F.col("y").cast("string")))))
+    tree = tree.withColumn("nodes", F.transform("nodes", lambda x: x["text"]))
     tree = materialize(tree, "merkle")
     groups = tree.groupBy("root").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "rep")
     members = tree.join(groups, "root")

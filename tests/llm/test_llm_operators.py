@@ -176,6 +176,12 @@ def test_formatting_duplicates(spark):
     assert formatting_duplicates(df.limit(0)).count() == 0
 
 
+def test_signs_in_titles(spark):
+    rows = [(1, "On √n scaling of C++ tools", "Äp, B.", "2001"), (2, "ON N SCALING OF C TOOLS", "B. Äp", "2001.0"), (3, "On nn scaling of C tools", "Äp, B.", "2001"), (4, "＋＋ ??", "Äp, B.", "2001")]
+    got = formatting_duplicates(spark.createDataFrame(rows, "paper_id long, title string, authors string, pub_year string")).collect()
+    assert {(r.group_id, r.member_id) for r in got} == {(1, 1), (1, 2)}
+
+
 def test_hot_group_of_copies(spark):
     rows = [(i, "Same title" if i % 3 else f"title {i}", "Smith, J.", "2020") for i in range(1200)]
     got = formatting_duplicates(spark.createDataFrame(rows, "paper_id long, title string, authors string, pub_year string"))
