@@ -154,7 +154,7 @@ def brokerage_baselines(holes: DataFrame, top_k_brokers: int = 10) -> DataFrame:
 def thematic_map(keywords: DataFrame, top_n: int = 20, min_weight: int = 2, label: str = "keyword") -> DataFrame:
     """(theme, size, frequency, centrality, density, keywords, quadrant) of keyword communities."""
     nodes = top_k(frequency(keywords, label), label, top_n)
-    edges = within(pair_counts(keywords, label, min_weight=min_weight), nodes, label)
+    edges = pair_counts(keywords.join(F.broadcast(nodes.select(label)), label, "left_semi"), label, min_weight=min_weight)  # pairs of the top list only
 
     def run(_g: int, names: list[str], m: np.ndarray, w: np.ndarray) -> pd.DataFrame:
         cols = ["theme", "size", "frequency", "centrality", "density", "keywords", "quadrant"]

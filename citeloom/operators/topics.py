@@ -41,7 +41,7 @@ def topics(papers: DataFrame, k: int = 8, vocabulary: int = UNLIMITED, iteration
     feats, vocab = tfidf(topic_documents(papers), vocabulary)
     shared_dir(papers.sparkSession)  # the lineage of EM is cut by checkpoints
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", docConcentration=[1.1], topicConcentration=1.1, featuresCol="features").fit(feats)
-    named = model.describeTopics(words).rdd.map(lambda r: (r.topic, "_".join(vocab[i] for i in r.termIndices))).collect()
+    named = [(r.topic, "_".join(vocab[i] for i in r.termIndices)) for r in model.describeTopics(words).collect()]  # k rows
     names = F.create_map(*[F.lit(x) for t, n in named for x in (t, n)])
     from pyspark.ml.functions import vector_to_array
 
