@@ -8,16 +8,17 @@ text is one bit operation. When all bins are open and none fits, the fullest clo
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.session import spread
 
-#: Vocabulary of a public tokenizer, present on every machine.
+#: Vocabulary of a public tokenizer; the driver reads it and sends it to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizing pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,7 +90,8 @@ class Packer:
 
 
 def _pack(batches: Iterable[pa.RecordBatch], path: str, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
-    count = load_counter(path)
+    sent = SparkFiles.get(os.path.basename(path))
+    count = load_counter(sent if os.path.exists(sent) else path)
     ctx = TaskContext.get()
     base = (ctx.partitionId() if ctx else 0) << 40
     packer = Packer(capacity, open_bins)
@@ -125,6 +127,7 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capa
     tokens and get a place too. Repeated rows are packed as often as they occur. No shuffle:
     every partition packs on its own, container ids hold the partition number.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # executors need not have the path
     cells = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     kind = docs.schema[id_col].dataType.simpleString()
     out = cells.mapInArrow(
