@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from citeloom.functions.overlaps import shared_counts
 from citeloom.operators.frequency import frequency, top_k
 from citeloom.session import materialize
 
@@ -151,24 +159,74 @@ def signature_overlaps(sigs: DataFrame, key: str) -> DataFrame:
     return one.join(one.select(F.col("sa").alias("sb"), "r"), "r").groupBy("sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
 
 
+#: Papers of a block at most; their shared references are counted block against block.
+BLOCK = 1 << 17
+
+
+def cited_works(refs: DataFrame, label: str, key: str) -> DataFrame:
+    """Distinct (key, label) rows without nulls, written once."""
+    return materialize(refs.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct(), "coupled")
+
+
+def _against(batches: Iterable[pa.RecordBatch], heavy: int, least: int, tally: Callable) -> Iterator[pa.RecordBatch]:
+    """``tally(keys, keys, shared counts)`` for the two blocks of papers in the rows of one task."""
+    held: dict[bool, list] = {True: [], False: []}
+    for batch in batches:
+        for side in held:
+            held[side].append(batch.filter(batch.column(1) if side else pc.invert(batch.column(1))))
+    if not held[True]:
+        return
+    left = pa.Table.from_batches(held[True]).combine_chunks()
+    right = pa.Table.from_batches(held[False]).combine_chunks()
+    same = not right.num_rows  # a block against itself comes once
+    sides = []
+    for t in (left, left if same else right):
+        ks = t.column(2).combine_chunks()
+        sides.append((np.concatenate(([0], np.cumsum(ks.value_lengths().to_numpy(zero_copy_only=False)))).astype("int64"), ks.flatten().to_numpy(zero_copy_only=False)))
+    yield from tally(left.column(0), (left if same else right).column(0), shared_counts(*sides, least, heavy, same))
+
+
+def _blocks_against_blocks(base: DataFrame, label: str, key: str, least: int, heavy: int, tally: Callable, schema: T.StructType) -> DataFrame:
+    """Rows of ``tally`` for every two blocks of papers, each pair of blocks in one task.
+
+    Works of one paper and papers with fewer than ``least`` other works share too little and are
+    left out. A paper is sent once for each block, so what is shuffled is the input times the
+    number of blocks, never the pairs.
+    """
+    spark = base.sparkSession
+    works = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(label, F.monotonically_increasing_id().alias("_k"))
+    papers = base.join(materialize(works, "works"), label).groupBy(key).agg(F.collect_list("_k").alias("_ks")).filter(F.size("_ks") >= least)  # a list is one paper
+    papers = materialize(papers, "papers")
+    n = papers.count()
+    blocks = max(1, -(-n // BLOCK), min(math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)), n // 1000))
+    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.col("_o")
+    rows = papers.select(key, "_ks", own.alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+    low, high = F.least("_g", other), F.greatest("_g", other)
+    task = (high * (high + 1) / 2 + low).cast("int")
+    sent = rows.select(key, (F.col("_g") <= other).alias("_left"), "_ks", task.alias("_t")).repartitionById(blocks * (blocks + 1) // 2, F.col("_t")).drop("_t")
+    return sent.mapInArrow(lambda it: _against(it, heavy, least, tally), schema)
+
+
+def _pairs_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    left, right = left.combine_chunks(), right.combine_chunks()
+    for i, j, n in counts:
+        for s in range(0, len(n), 1 << 16):
+            x = slice(s, s + (1 << 16))
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(i[x])), right.take(pa.array(j[x])), pa.array(n[x])], ["a", "b", "weight"])
+
+
 def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min_shared: int = 2, heavy: int = HEAVY) -> DataFrame:
     """(a, b, weight): papers that share at least ``min_shared`` references.
 
-    References of at most ``heavy`` papers make candidate pairs, counted before they are
-    shuffled. The others of a paper form its signature: what two papers share of them is the
-    overlap of their signatures, and pairs that share nothing else arise only from signatures
-    that overlap enough, so each of them is a row of the result. A work that half of the papers
-    cite thus costs one array entry per paper.
+    The papers are cut into blocks; each task counts what two blocks share in NumPy and returns
+    only the pairs of the result. References of more than ``heavy`` papers of a block are added
+    as whole 0/1 rows.
     """
-    base = materialize(refs.filter(F.col(label).isNotNull()).select(key, label).distinct(), "coupled")
-    light, sigs = signatures(base, key, label, heavy)
-    sigs = materialize(sigs, "signatures")
-    cand = light.select(F.col(key).alias("a"), label).join(light.select(F.col(key).alias("b"), label), label).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sa, sb = sigs.select(F.col(key).alias("a"), F.col("sig").alias("sa")), sigs.select(F.col(key).alias("b"), F.col("sig").alias("sb"))
-    both = F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0))
-    near = cand.join(sa, "a", "left").join(sb, "b", "left").select("a", "b", (F.col("n") + F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), both).otherwise(0)).alias("weight"))
-    only = signature_overlaps(sigs, key).filter(F.col("shared") >= min_shared).join(sa, "sa").join(sb, "sb").filter("a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
-    return near.filter(F.col("weight") >= min_shared).unionByName(only.select("a", "b", F.col("shared").alias("weight")))
+    base = cited_works(refs, label, key)
+    kind = base.schema[key].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("weight", T.LongType())])
+    found = _blocks_against_blocks(base, label, key, max(1, min_shared), heavy, _pairs_of, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
 def coupling_network(refs: DataFrame, top_n: int = 30, min_shared: int = 2, label: str = "ref", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
