@@ -215,6 +215,18 @@ def _pairs_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tu
             yield pa.RecordBatch.from_arrays([left.take(pa.array(i[x])), right.take(pa.array(j[x])), pa.array(n[x])], ["a", "b", "weight"])
 
 
+def _strengths_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], leasts: list[int]) -> Iterator[pa.RecordBatch]:
+    sums = [(np.zeros((len(leasts), len(left)), "int64"), left), (np.zeros((len(leasts), len(right)), "int64"), right)]
+    for i, j, n in counts:
+        for s, least in enumerate(leasts):
+            w = np.where(n >= least, n, 0)
+            for (total, keys), rows in zip(sums, (i, j)):
+                total[s] += np.bincount(rows, weights=w, minlength=len(keys)).astype("int64")
+    for total, keys in sums:
+        some = np.flatnonzero(total[0])  # of the smallest least
+        yield pa.RecordBatch.from_arrays([keys.combine_chunks().take(pa.array(some)), *(pa.array(x[some]) for x in total)], ["k", *(f"s{x}" for x in range(len(leasts)))])
+
+
 def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min_shared: int = 2, heavy: int = HEAVY) -> DataFrame:
     """(a, b, weight): papers that share at least ``min_shared`` references.
 
@@ -229,12 +241,24 @@ def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
+def coupling_strengths(base: DataFrame, min_shareds: list[int], label: str = "ref", key: str = "rec_id", heavy: int = HEAVY) -> DataFrame:
+    """(key, s0, s1, ...): references that a paper of ``cited_works`` shares with the papers with which
+    it shares at least ``min_shareds[x]``. The pairs are summed up where they are counted and never leave the task."""
+    order = sorted(set(min_shareds))
+    names = [f"s{x}" for x in range(len(order))]
+    schema = T.StructType([T.StructField("k", base.schema[key].dataType), *(T.StructField(x, T.LongType()) for x in names)])
+    parts = _blocks_against_blocks(base, label, key, max(1, order[0]), heavy, lambda a, b, c: _strengths_of(a, b, c, order), schema)
+    sums = parts.groupBy(F.col("k").alias(key)).agg(*[F.sum(x).alias(x) for x in names])
+    return sums.select(key, *[F.col(names[order.index(m)]).alias(f"s{x}") for x, m in enumerate(min_shareds)])
+
+
 def coupling_network(refs: DataFrame, top_n: int = 30, min_shared: int = 2, label: str = "ref", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): papers ranked by shared references, pairs among the first ``top_n``."""
-    pairs = coupling_pairs(refs, label, key, min_shared)
-    strength = pairs.select(F.explode(F.array("a", "b")).alias(key), "weight").groupBy(key).agg(F.sum("weight").alias("strength"))
-    nodes = strength.orderBy(F.desc("strength"), F.asc(key)).limit(top_n)
-    return nodes, within(pairs, nodes, key)
+    base = cited_works(refs, label, key)
+    strength = coupling_strengths(base, [min_shared], label, key).withColumnRenamed("s0", "strength")
+    nodes = materialize(strength.orderBy(F.desc("strength"), F.asc(key)).limit(top_n), "nodes")
+    inner = base.join(F.broadcast(nodes.select(key)), key, "left_semi")  # a top list
+    return nodes, pair_counts(inner, key, label, min_weight=min_shared)
 
 
 def jaccard(keywords: DataFrame, top_n: int = 15, min_weight: int = 2, label: str = "keyword") -> DataFrame:

@@ -40,11 +40,28 @@ def couples():
     return {(a, b): 2 for a, b in combinations(range(PAPERS), 2) if cited[a] == cited[b]}
 
 
+def strengths(pairs):
+    sums = {}
+    for ends, n in pairs.items():
+        for p in ends:
+            sums[p] = sums.get(p, 0) + n
+    return sums
+
+
 def test_pairs_are_not_shuffled(spark, often):
     got, rows = shuffled(spark, lambda: {(r.a, r.b): r.weight for r in N.coupling_pairs(often).collect()})
     assert got == couples() and rows < 20 * 3 * PAPERS  # some 1.4 million pairs share a work
 
 
+def test_network_without_pairs_of_all(spark, often):
+    (nodes, edges), rows = shuffled(spark, lambda: [x.collect() for x in N.coupling_network(often, 10)])
+    want = sorted(strengths(couples()).items(), key=lambda x: (-x[1], x[0]))[:10]
+    top = {p for p, _ in want}
+    assert [(r.rec_id, r.strength) for r in sorted(nodes, key=lambda r: (-r.strength, r.rec_id))] == want
+    assert {(r.a, r.b): r.weight for r in edges} == {k: n for k, n in couples().items() if top.issuperset(k)}
+    assert rows < 20 * 3 * PAPERS
+
+
 def test_small_blocks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 9)
     rng = random.Random(5)
@@ -54,6 +71,9 @@ def test_small_blocks_against_brute_force(spark, monkeypatch):
     for least, heavy in ((1, 1), (2, 3), (4, 1000)):
         want = {k: n for k, n in shared.items() if n >= least}
         assert {(r.a, r.b): r.weight for r in N.coupling_pairs(df, min_shared=least, heavy=heavy).collect()} == want
+    sums = N.coupling_strengths(N.cited_works(df, "ref", "rec_id"), [3, 2], heavy=3).collect()
+    for i, least in ((1, 3), (2, 2)):
+        assert {r.rec_id: r[i] for r in sums if r[i]} == strengths({k: n for k, n in shared.items() if n >= least})
 
 
 def test_counts_beyond_a_byte(monkeypatch):
