@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from citeloom.functions import graph as G
 from citeloom.functions import lookups as L
 from citeloom.operators.frequency import frequency, top_k
-from citeloom.operators.networks import coupling_pairs, pair_counts, within
+from citeloom.operators.networks import cited_works, coupling_strengths, pair_counts, within
 from citeloom.operators.temporal import dated, year_slices
+from citeloom.session import materialize
 
 
 def as_graphs(nodes: DataFrame, edges: DataFrame, label: str, weight: str = "n", group: Column | None = None) -> DataFrame:
@@ -95,18 +96,22 @@ def structural_holes(nodes: DataFrame, edges: DataFrame, label: str, weight: str
 def coupling_scenarios(refs: DataFrame, top_ns: list[int], min_shareds: list[int], label: str = "ref", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with grp for every combination of network size and least shared references.
 
-    Shared counts are taken once; a scenario is a filter on them.
+    Shared counts are taken once and summed up for every least number; pairs are formed among the
+    nodes of the scenarios only.
     """
-    pairs = coupling_pairs(refs, label, key, min(min_shareds))
+    base = cited_works(refs, label, key)
     grid = [(i * len(min_shareds) + j, n, s) for i, n in enumerate(top_ns) for j, s in enumerate(min_shareds)]
-    cases = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).alias("top_n"), F.lit(s).alias("min_shared")) for g, n, s in grid]))
-    wide = pairs.withColumn("c", cases).select("c.*", "a", "b", "weight").filter("weight >= min_shared")
-    strength = wide.select("grp", "top_n", F.explode(F.array("a", "b")).alias(key), "weight").groupBy("grp", "top_n", key).agg(F.sum("weight").alias("strength"))
+    place = {s: f"s{x}" for x, s in enumerate(min_shareds)}
+    cases = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).alias("top_n"), F.col(place[s]).alias("strength")) for g, n, s in grid]))
+    strength = coupling_strengths(base, min_shareds, label, key).select(key, cases.alias("c")).select("c.*", key).filter("strength > 0")
     # the k best per scenario: one bounded sort per scenario and partition, then a small merge
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), F.col(key).alias("k")))), F.lit(1), F.max("top_n"))
     part = strength.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64))).groupBy("grp", "top_n", "_salt").agg(best.alias("x"))
     nodes = part.select("grp", "top_n", F.explode("x").alias("e")).groupBy("grp", "top_n").agg(F.slice(F.array_sort(F.collect_list("e")), F.lit(1), F.max("top_n")).alias("x"))
-    nodes = nodes.select("grp", F.explode("x").alias("e")).select("grp", F.col("e.k").alias(key), (-F.col("e.s")).alias("n"))
+    nodes = materialize(nodes.select("grp", F.explode("x").alias("e")).select("grp", F.col("e.k").alias(key), (-F.col("e.s")).alias("n")), "nodes")
+    inner = base.join(F.broadcast(nodes.select(key).distinct()), key, "left_semi")  # the nodes of a few scenarios
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(s).alias("min_shared")) for g, _, s in grid]))
+    wide = pair_counts(inner, key, label, min_weight=min(min_shareds)).withColumn("c", each).select("c.*", "a", "b", "weight").filter("weight >= min_shared")
     ends = F.broadcast(nodes.select(F.col("grp").alias("_g"), F.col(key).alias("_k")))
     kept = wide.join(ends, (F.col("grp") == F.col("_g")) & (F.col("a") == F.col("_k")), "left_semi").join(ends, (F.col("grp") == F.col("_g")) & (F.col("b") == F.col("_k")), "left_semi")
     return nodes, kept.select("grp", "a", "b", "weight")

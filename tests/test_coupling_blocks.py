@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import overlaps as O
 from citeloom.operators import networks as N
+from citeloom.operators import structure as S
 
 PAPERS = 3000
 
@@ -62,6 +63,15 @@ def test_network_without_pairs_of_all(spark, often):
     assert rows < 20 * 3 * PAPERS
 
 
+def test_scenarios_without_pairs_of_all(spark, often):
+    (nodes, edges), rows = shuffled(spark, lambda: [x.collect() for x in S.coupling_scenarios(often, [5, 10], [2, 3])])
+    want = sorted(strengths(couples()).items(), key=lambda x: (-x[1], x[0]))
+    assert {(r.grp, r.rec_id, r.n) for r in nodes} == {(g, *x) for g, n in ((0, 5), (2, 10)) for x in want[:n]}  # none share three
+    for g, n in ((0, 5), (2, 10)):
+        assert {(r.a, r.b): r.weight for r in edges if r.grp == g} == {k: w for k, w in couples().items() if {p for p, _ in want[:n]}.issuperset(k)}
+    assert rows < 20 * 3 * PAPERS
+
+
 def test_small_blocks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 9)
     rng = random.Random(5)
