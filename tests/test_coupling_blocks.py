@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import overlaps as O
+from citeloom.operators import maps as Y
 from citeloom.operators import networks as N
 from citeloom.operators import structure as S
+from citeloom.sources import reports as P
 
 PAPERS = 3000
 
@@ -72,6 +74,20 @@ def test_scenarios_without_pairs_of_all(spark, often):
     assert rows < 20 * 3 * PAPERS
 
 
+NETWORK = {
+    "structural_holes": lambda refs: S.structural_holes(*N.coupling_network(refs, 10), "rec_id", "strength"),
+    "brokerage_baselines": lambda refs: S.brokerage_baselines(S.structural_holes(*N.coupling_network(refs, 10), "rec_id", "strength")),
+    "hole_summary": lambda refs: Y.hole_summary(S.structural_holes(*N.coupling_network(refs, 10), "rec_id", "strength")),
+    "stable_brokers": lambda refs: P.stable_brokers(S.brokerage_robustness(refs, [5, 10], [1, 2]), least=0.25),
+}
+
+
+@pytest.mark.parametrize("name", NETWORK)
+def test_tables_of_the_network_without_pairs_of_all(spark, often, name):
+    found, rows = shuffled(spark, lambda: NETWORK[name](often).collect())
+    assert found and rows < 40 * 3 * PAPERS
+
+
 def test_small_blocks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 9)
     rng = random.Random(5)
