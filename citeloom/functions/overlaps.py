@@ -1,4 +1,4 @@
-"""Entries that the rows of two blocks share, counted in NumPy."""
+"""Entries that the rows of two blocks share, counted or bounded in NumPy."""
 
 from __future__ import annotations
 
@@ -65,3 +65,30 @@ def shared_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray,
             i, j, w = i[keep], j[keep], w[keep]
         yield i, j, w.astype("int64")
         s = e
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as well mixed 64 bits (splitmix64)."""
+    x = values.astype("uint64") + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def slots(mixed_bits: np.ndarray, bits: int) -> np.ndarray:
+    return ((mixed_bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype("int64")
+
+
+def pair_slots(offsets: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, slot) arrays: the slot below 2 ** ``bits`` of every two values of a row, in whichever order they stand."""
+    lens, x = np.diff(offsets), mixed(values)
+    later = np.repeat(offsets[1:], lens) - np.arange(len(values)) - 1  # values of its row after each
+    work = np.concatenate(([0], np.cumsum(later)))[offsets]
+    s, rows = 0, len(lens)
+    while s < rows:
+        e = max(s + 1, min(rows, int(np.searchsorted(work, work[s] + ENTRIES, "right")) - 1))
+        n = later[offsets[s] : offsets[e]]
+        first = np.repeat(np.arange(offsets[s], offsets[e]), n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(np.arange(s, e), np.diff(work[s : e + 1])), slots(x[first] + x[second], bits)
+        s = e

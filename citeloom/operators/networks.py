@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.functions.overlaps import shared_counts
+from citeloom.functions.overlaps import mixed, pair_slots, shared_counts, slots
 from citeloom.operators.frequency import frequency, top_k
 from citeloom.session import materialize
 
@@ -161,6 +162,10 @@ def signature_overlaps(sigs: DataFrame, key: str) -> DataFrame:
 
 #: Papers of a block at most; their shared references are counted block against block.
 BLOCK = 1 << 17
+#: Up to so many papers all are compared; beyond, those that may be among the strongest.
+FEW = 1 << 15
+#: Slots (as a power of two) in which pairs of works are counted for the bounds, parts in which they travel; works of a paper whose pairs are counted.
+BITS, PARTS, WIDE = 22, 64, 256
 
 
 def cited_works(refs: DataFrame, label: str, key: str) -> DataFrame:
@@ -168,7 +173,12 @@ def cited_works(refs: DataFrame, label: str, key: str) -> DataFrame:
     return materialize(refs.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct(), "coupled")
 
 
-def _against(batches: Iterable[pa.RecordBatch], heavy: int, least: int, tally: Callable) -> Iterator[pa.RecordBatch]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of arrays."""
+    return np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype("int64"), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _against(batches: Iterable[pa.RecordBatch], heavy: int, least: int, tally: Callable, apart: bool = False) -> Iterator[pa.RecordBatch]:
     """``tally(keys, keys, shared counts)`` for the two blocks of papers in the rows of one task."""
     held: dict[bool, list] = {True: [], False: []}
     for batch in batches:
@@ -178,27 +188,29 @@ def _against(batches: Iterable[pa.RecordBatch], heavy: int, least: int, tally: C
         return
     left = pa.Table.from_batches(held[True]).combine_chunks()
     right = pa.Table.from_batches(held[False]).combine_chunks()
-    same = not right.num_rows  # a block against itself comes once
-    sides = []
-    for t in (left, left if same else right):
-        ks = t.column(2).combine_chunks()
-        sides.append((np.concatenate(([0], np.cumsum(ks.value_lengths().to_numpy(zero_copy_only=False)))).astype("int64"), ks.flatten().to_numpy(zero_copy_only=False)))
+    same = not right.num_rows and not apart  # a block against itself comes once
+    sides = [_lists(t.column(2).combine_chunks()) for t in (left, left if same else right)]
     yield from tally(left.column(0), (left if same else right).column(0), shared_counts(*sides, least, heavy, same))
 
 
-def _blocks_against_blocks(base: DataFrame, label: str, key: str, least: int, heavy: int, tally: Callable, schema: T.StructType) -> DataFrame:
-    """Rows of ``tally`` for every two blocks of papers, each pair of blocks in one task.
+def coupled_papers(base: DataFrame, label: str, key: str, least: int) -> DataFrame:
+    """(key, _ks, _u): works of each paper as numbers and the shared references it has with all others, written once.
 
-    Works of one paper and papers with fewer than ``least`` other works share too little and are
-    left out. A paper is sent once for each block, so what is shuffled is the input times the
-    number of blocks, never the pairs.
+    Works of one paper and papers with fewer than ``least`` other works share too little and are left out.
+    """
+    works = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(label, "_n", F.monotonically_increasing_id().alias("_k"))
+    lists = base.join(materialize(works, "works"), label).groupBy(key).agg(F.collect_list("_k").alias("_ks"), F.sum(F.col("_n") - 1).alias("_u"))  # a list is one paper
+    return materialize(lists.filter(F.size("_ks") >= least), "papers")
+
+
+def _blocks_against_blocks(papers: DataFrame, key: str, least: int, heavy: int, tally: Callable, schema: T.StructType) -> DataFrame:
+    """Rows of ``tally`` for every two blocks of ``coupled_papers``, each pair of blocks in one task.
+
+    A paper is sent once for each block, so what is shuffled is the input times the number of
+    blocks, never the pairs.
     """
-    spark = base.sparkSession
-    works = base.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(label, F.monotonically_increasing_id().alias("_k"))
-    papers = base.join(materialize(works, "works"), label).groupBy(key).agg(F.collect_list("_k").alias("_ks")).filter(F.size("_ks") >= least)  # a list is one paper
-    papers = materialize(papers, "papers")
     n = papers.count()
-    blocks = max(1, -(-n // BLOCK), min(math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)), n // 1000))
+    blocks = max(1, -(-n // BLOCK), min(math.ceil(math.sqrt(6 * papers.sparkSession.sparkContext.defaultParallelism)), n // 1000))
     own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.col("_o")
     rows = papers.select(key, "_ks", own.alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
     low, high = F.least("_g", other), F.greatest("_g", other)
@@ -215,8 +227,9 @@ def _pairs_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tu
             yield pa.RecordBatch.from_arrays([left.take(pa.array(i[x])), right.take(pa.array(j[x])), pa.array(n[x])], ["a", "b", "weight"])
 
 
-def _strengths_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], leasts: list[int]) -> Iterator[pa.RecordBatch]:
-    sums = [(np.zeros((len(leasts), len(left)), "int64"), left), (np.zeros((len(leasts), len(right)), "int64"), right)]
+def _strengths_of(left: pa.ChunkedArray, right: pa.ChunkedArray, counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], leasts: list[int], apart: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sums of the papers of both blocks; with ``apart`` of the left one only."""
+    sums = [(np.zeros((len(leasts), len(x)), "int64"), x) for x in ((left,) if apart else (left, right))]
     for i, j, n in counts:
         for s, least in enumerate(leasts):
             w = np.where(n >= least, n, 0)
@@ -237,25 +250,134 @@ def coupling_pairs(refs: DataFrame, label: str = "ref", key: str = "rec_id", min
     base = cited_works(refs, label, key)
     kind = base.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("weight", T.LongType())])
-    found = _blocks_against_blocks(base, label, key, max(1, min_shared), heavy, _pairs_of, schema)
+    least = max(1, min_shared)
+    found = _blocks_against_blocks(coupled_papers(base, label, key, least), key, least, heavy, _pairs_of, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
-def coupling_strengths(base: DataFrame, min_shareds: list[int], label: str = "ref", key: str = "rec_id", heavy: int = HEAVY) -> DataFrame:
+def _sums_schema(papers: DataFrame, key: str, leasts: list[int]) -> T.StructType:
+    return T.StructType([T.StructField("k", papers.schema[key].dataType), *(T.StructField(f"s{x}", T.LongType()) for x in range(len(leasts)))])
+
+
+def _strengths_of_all(papers: DataFrame, key: str, leasts: list[int], heavy: int) -> DataFrame:
+    """(key, s0, s1, ...) for ascending ``leasts``, every paper against every other."""
+    parts = _blocks_against_blocks(papers, key, leasts[0], heavy, lambda a, b, c: _strengths_of(a, b, c, leasts), _sums_schema(papers, key, leasts))
+    return parts.groupBy(F.col("k").alias(key)).agg(*[F.sum(f"s{x}").alias(f"s{x}") for x in range(len(leasts))])
+
+
+def _strengths_of_some(some: DataFrame, m: int, papers: DataFrame, n: int, key: str, leasts: list[int], heavy: int) -> DataFrame:
+    """The same for ``m`` of the ``n`` papers, each of their blocks against each block of all papers."""
+    lefts, rights = -(-m // BLOCK) or 1, max(papers.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK))
+    place = lambda blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
+    one = some.select(key, F.lit(True).alias("_left"), "_ks", place(lefts).alias("_g"), each(rights)).withColumn("_t", F.col("_g") * rights + F.col("_o"))
+    two = papers.select(key, F.lit(False).alias("_left"), "_ks", place(rights).alias("_g"), each(lefts)).withColumn("_t", F.col("_o") * rights + F.col("_g"))
+    sent = one.unionByName(two).drop("_g", "_o").repartitionById(lefts * rights, F.col("_t")).drop("_t")
+    parts = sent.mapInArrow(lambda it: _against(it, heavy, leasts[0], lambda a, b, c: _strengths_of(a, b, c, leasts, True), True), _sums_schema(papers, key, leasts))
+    # each paper has met itself once
+    own = some.select(F.col(key).alias("k"), *[F.when(F.size("_ks") >= least, -F.size("_ks")).otherwise(0).cast("long").alias(f"s{x}") for x, least in enumerate(leasts)])
+    return parts.unionByName(own).groupBy(F.col("k").alias(key)).agg(*[F.sum(f"s{x}").alias(f"s{x}") for x in range(len(leasts))])
+
+
+def _packed(x: int, counts: np.ndarray) -> pa.RecordBatch:
+    small = counts.astype(np.min_scalar_type(counts.max()))
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["part", "counts"])
+
+
+def _unpacked(counts: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) // size}").astype("int64")
+
+
+def _sketch(batches: Iterable[pa.RecordBatch], bits: int, parts: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """(part, counts): how often each slot of a pair of works came, then of each work of papers with more than ``wide``."""
+    pairs, alone = np.zeros(1 << bits, "uint32"), np.zeros(1 << bits, "uint32")
+    for batch in batches:
+        offsets, values = _lists(batch.column(0))
+        far = np.repeat(np.diff(offsets) > wide, np.diff(offsets))
+        if far.any():
+            np.add.at(alone, slots(mixed(values[far]), bits), np.uint32(1))
+            offsets, values = np.concatenate(([0], np.cumsum(~far)))[offsets], values[~far]
+        for _, at in pair_slots(offsets, values, bits):
+            np.add.at(pairs, at, np.uint32(1))
+    for x, part in enumerate([*np.split(pairs, parts), *np.split(alone, parts)]):
+        if part.any():
+            yield _packed(x, part)
+
+
+def _sum_of_sketches(t: pa.Table, size: int) -> pa.Table:
+    return pa.Table.from_batches([_packed(t.column("part")[0].as_py(), sum(_unpacked(x.as_py(), size) for x in t.column("counts")))])
+
+
+def _bounds(batches: Iterable[pa.RecordBatch], pairs: np.ndarray, alone: np.ndarray, bits: int, wide: int, leasts: list[int]) -> Iterator[pa.RecordBatch]:
+    """(key, _ks, b0, b1, ...) for rows (key, _ks, _u)."""
+    for batch in batches:
+        offsets, values = _lists(batch.column(1))
+        all_shared = batch.column(2).to_numpy(zero_copy_only=False)
+        far = np.diff(offsets) > wide
+        by_far = np.concatenate(([0], np.cumsum(alone[slots(mixed(values), bits)], dtype="int64")))
+        by_far = by_far[offsets[1:]] - by_far[offsets[:-1]]
+        kept = ~np.repeat(far, np.diff(offsets))
+        twos = np.zeros(len(far), "int64")
+        for row, at in pair_slots(np.concatenate(([0], np.cumsum(kept)))[offsets], values[kept], bits):
+            twos += np.bincount(row, weights=pairs[at] - 1, minlength=len(far)).astype("int64")
+        found = [np.where(far, all_shared, np.minimum(all_shared, by_far + 2 * twos // (least - 1))) if least > 1 else all_shared for least in leasts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found)], ["k", "_ks", *(f"b{x}" for x in range(len(leasts)))])
+
+
+def strength_bounds(papers: DataFrame, key: str, leasts: list[int]) -> DataFrame:
+    """(key, _ks, b0, b1, ...): ``coupled_papers`` with a number that the strength for ``leasts[x]`` does not exceed.
+
+    A paper shares n references with another: over the others, the sum of n is known from the counts of
+    its works, the sum of n (n - 1) / 2 from the counts of its pairs of works; where n >= least > 1, n is at
+    most n (n - 1) / (least - 1). Pairs are counted by slot, which can only raise the bound. Papers with
+    very many works give no pairs: what others share with them is taken from single works.
+    """
+    bits, wide, parts = BITS, WIDE, PARTS
+    size, schema = (1 << bits) // parts, "part int, counts binary"
+    counts = papers.select("_ks").mapInArrow(lambda it: _sketch(it, bits, parts, wide), schema).groupBy("part").applyInArrow(lambda t: _sum_of_sketches(t, size), schema)
+    tables = np.zeros((2, parts, size), "int64")  # its size is a parameter
+    for r in counts.collect():
+        tables[divmod(r["part"], parts)] = _unpacked(r["counts"], size)
+    sent = papers.sparkSession.sparkContext.broadcast([t.ravel().astype(np.min_scalar_type(t.max())) for t in tables])
+    schema = T.StructType([T.StructField("k", papers.schema[key].dataType), papers.schema["_ks"], *(T.StructField(f"b{x}", T.LongType()) for x in range(len(leasts)))])
+    return materialize(papers.select(key, "_ks", "_u").mapInArrow(lambda it: _bounds(it, *sent.value, bits, wide, leasts), schema).withColumnRenamed("k", key), "bounds")
+
+
+def _strengths_of_top(papers: DataFrame, key: str, leasts: list[int], top_n: int, heavy: int) -> DataFrame:
+    """(key, s0, s1, ...) of the ``top_n`` papers by each strength, ties included, and of some others.
+
+    The first by bound are compared with all papers; then all whose bound reaches the least of the best
+    found so. Where these are most papers, all are compared with all.
+    """
+    n = papers.count()
+    if n <= FEW:
+        return _strengths_of_all(papers, key, leasts, heavy)
+    bounds = strength_bounds(papers, key, leasts)
+    first = [bounds.orderBy(F.desc(f"b{x}"), F.asc(key)).limit(4 * top_n) for x in range(len(leasts))]
+    first = materialize(reduce(DataFrame.unionByName, first).dropDuplicates([key]), "first")
+    found = _strengths_of_some(first, 4 * top_n * len(leasts), papers, n, key, leasts, heavy).drop(key).collect()  # a few top lists
+    low = [max(1, sorted((r[f"s{x}"] for r in found), reverse=True)[top_n - 1 : top_n][0] if len(found) >= top_n else 1) for x in range(len(leasts))]
+    some = bounds.filter(reduce(Column.__or__, [F.col(f"b{x}") >= v for x, v in enumerate(low)]))
+    m = some.count()
+    return _strengths_of_some(some, m, papers, n, key, leasts, heavy) if 2 * m <= n else _strengths_of_all(papers, key, leasts, heavy)
+
+
+def coupling_strengths(base: DataFrame, min_shareds: list[int], label: str = "ref", key: str = "rec_id", heavy: int = HEAVY, top_n: int | None = None) -> DataFrame:
     """(key, s0, s1, ...): references that a paper of ``cited_works`` shares with the papers with which
-    it shares at least ``min_shareds[x]``. The pairs are summed up where they are counted and never leave the task."""
-    order = sorted(set(min_shareds))
-    names = [f"s{x}" for x in range(len(order))]
-    schema = T.StructType([T.StructField("k", base.schema[key].dataType), *(T.StructField(x, T.LongType()) for x in names)])
-    parts = _blocks_against_blocks(base, label, key, max(1, order[0]), heavy, lambda a, b, c: _strengths_of(a, b, c, order), schema)
-    sums = parts.groupBy(F.col("k").alias(key)).agg(*[F.sum(x).alias(x) for x in names])
-    return sums.select(key, *[F.col(names[order.index(m)]).alias(f"s{x}") for x, m in enumerate(min_shareds)])
+    it shares at least ``min_shareds[x]``. The pairs are summed up where they are counted and never leave the task.
+
+    With ``top_n`` only papers that may be among the first ``top_n`` by one of the strengths are sure to come.
+    """
+    order = sorted({max(1, m) for m in min_shareds})
+    papers = coupled_papers(base, label, key, order[0])
+    sums = _strengths_of_top(papers, key, order, top_n, heavy) if top_n else _strengths_of_all(papers, key, order, heavy)
+    return sums.select(key, *[F.col(f"s{order.index(max(1, m))}").alias(f"s{x}") for x, m in enumerate(min_shareds)])
 
 
 def coupling_network(refs: DataFrame, top_n: int = 30, min_shared: int = 2, label: str = "ref", key: str = "rec_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): papers ranked by shared references, pairs among the first ``top_n``."""
     base = cited_works(refs, label, key)
-    strength = coupling_strengths(base, [min_shared], label, key).withColumnRenamed("s0", "strength")
+    strength = coupling_strengths(base, [min_shared], label, key, top_n=top_n).withColumnRenamed("s0", "strength").filter("strength > 0")
     nodes = materialize(strength.orderBy(F.desc("strength"), F.asc(key)).limit(top_n), "nodes")
     inner = base.join(F.broadcast(nodes.select(key)), key, "left_semi")  # a top list
     return nodes, pair_counts(inner, key, label, min_weight=min_shared)

@@ -109,3 +109,46 @@ def test_counts_beyond_a_byte(monkeypatch):
     for heavy in (0, 2, 9):
         got = {(int(i), int(j)): int(n) for x in O.shared_counts(block, block, 1, heavy, True) for i, j, n in zip(*x)}
         assert got == {(0, 1): 400, (0, 2): 1, (0, 3): 401, (1, 3): 400}
+
+
+def test_top_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    cited = {f"p{p}": {w for w in range(30) if rng.random() < (0.7 if p < 6 else 0.3 if w < 4 else 0.1)} for p in range(150)}
+    cited |= {f"q{p}": cited[f"p{p}"] for p in range(0, 150, 7)}  # ties
+    df = spark.createDataFrame([(p, str(w)) for p in cited for w in cited[p]], "rec_id string, ref string")
+    shared = {(a, b): len(cited[a] & cited[b]) for a, b in combinations(sorted(cited), 2)}
+    want = {least: strengths({k: n for k, n in shared.items() if n >= least}) for least in (1, 2, 3)}
+    monkeypatch.setattr(N, "FEW", 0)
+    monkeypatch.setattr(N, "PARTS", 4)
+    base = N.cited_works(df, "ref", "rec_id")
+    for bits, wide, block in ((16, 256, 1 << 17), (5, 256, 9), (16, 8, 20), (5, 8, 20)):
+        monkeypatch.setattr(N, "BITS", bits)
+        monkeypatch.setattr(N, "WIDE", wide)
+        monkeypatch.setattr(N, "BLOCK", block)
+        for r in N.strength_bounds(N.coupled_papers(base, "ref", "rec_id", 1), "rec_id", [1, 2, 3]).collect():
+            assert all(r[f"b{x}"] >= want[least].get(r.rec_id, 0) for x, least in enumerate((1, 2, 3)))
+        for leasts in ([1], [3, 2]):
+            got = N.coupling_strengths(base, leasts, top_n=5).collect()
+            for x, least in enumerate(leasts):
+                found, fifth = {r.rec_id: r[f"s{x}"] for r in got}, sorted(want[least].values())[-5]
+                assert all(n == want[least].get(p, 0) for p, n in found.items())
+                assert {p for p, n in want[least].items() if n >= fifth} <= set(found)
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """A group of 60 papers, groups of four, two works of each group, and a work that all cite."""
+    p = spark.range(PAPERS).withColumnRenamed("id", "rec_id").withColumn("g", F.expr("if(rec_id < 60, 0, rec_id div 4)"))
+    return p.select("rec_id", F.explode(F.expr("array(2 * g, 2 * g + 1, -1)")).alias("ref")).withColumn("ref", F.col("ref").cast("string"))
+
+
+def all_against_all(*_):
+    raise AssertionError("all papers are compared with all")
+
+
+@pytest.mark.parametrize("name", ["brokerage_baselines"])
+def test_top_lists_without_all_against_all(spark, uneven, monkeypatch, name):
+    want = NETWORK[name](uneven).collect()
+    monkeypatch.setattr(N, "FEW", PAPERS - 1, raising=False)
+    monkeypatch.setattr(N, "_blocks_against_blocks", all_against_all)
+    assert want and sorted(NETWORK[name](uneven).collect(), key=str) == sorted(want, key=str)
