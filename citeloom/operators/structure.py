@@ -103,7 +103,7 @@ def coupling_scenarios(refs: DataFrame, top_ns: list[int], min_shareds: list[int
     grid = [(i * len(min_shareds) + j, n, s) for i, n in enumerate(top_ns) for j, s in enumerate(min_shareds)]
     place = {s: f"s{x}" for x, s in enumerate(min_shareds)}
     cases = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).alias("top_n"), F.col(place[s]).alias("strength")) for g, n, s in grid]))
-    strength = coupling_strengths(base, min_shareds, label, key).select(key, cases.alias("c")).select("c.*", key).filter("strength > 0")
+    strength = coupling_strengths(base, min_shareds, label, key, top_n=max(top_ns)).select(key, cases.alias("c")).select("c.*", key).filter("strength > 0")
     # the k best per scenario: one bounded sort per scenario and partition, then a small merge
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), F.col(key).alias("k")))), F.lit(1), F.max("top_n"))
     part = strength.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64))).groupBy("grp", "top_n", "_salt").agg(best.alias("x"))
