@@ -146,7 +146,7 @@ def all_against_all(*_):
     raise AssertionError("all papers are compared with all")
 
 
-@pytest.mark.parametrize("name", ["brokerage_baselines", "stable_brokers", "structural_holes"])
+@pytest.mark.parametrize("name", ["brokerage_baselines", "stable_brokers", "structural_holes", "hole_summary"])
 def test_top_lists_without_all_against_all(spark, uneven, monkeypatch, name):
     want = NETWORK[name](uneven).collect()
     monkeypatch.setattr(N, "FEW", PAPERS - 1, raising=False)
